@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import langid, minhash, packing, pii
+from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_duplicates(spark, sf_dir):
+    return egojoin.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc_revisits(spark, sf_dir):
+    return warc.deduplicated(warc.captures(_table(spark, sf_dir, "pages")))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark, sf_dir):
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -27,9 +39,13 @@ def op9_language_id(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark, sf_dir):
+    return balltree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op4_packing": packing.PACK_SQL}
+    return {"op1_embedding_near_duplicates": egojoin.EGO_SQL, "op3_warc_revisits": warc.WARC_SQL, "op4_packing": packing.PACK_SQL, "op10_top_k": balltree.TOPK_SQL}
