@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, warc
+from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, urltree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_embedding_near_duplicates(spark, sf_dir):
     return egojoin.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_url_templates(spark, sf_dir):
+    pages = urltree.labelled_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return urltree.templates(pages)
+
+
 def op3_warc_revisits(spark, sf_dir):
     return warc.deduplicated(warc.captures(_table(spark, sf_dir, "pages")))
 
