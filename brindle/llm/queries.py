@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, urltree, warc
+from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, urltree, warc, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_wrappers(spark, sf_dir):
+    return wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_minhash_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
