@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # no glibc here
+    _LIBC = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.  ``spark.checkpoint.dir`` where the cluster names one; a temporary
@@ -66,6 +73,33 @@ def slices(offsets: np.ndarray, most: int):
         i = j
 
 
+def parts(batch: pa.RecordBatch, text: int, most: int = 2 << 20):
+    """Slices of a batch of at most ``most`` bytes of text in column ``text`` each (a longer text is a
+    slice of its own), so that what is worked out at once doesn't grow with Arrow's batches."""
+    size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    for i, j in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), most):
+        yield batch.slice(i, j - i)
+
+
+def release() -> None:
+    """Gives free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """``run`` (of mapInArrow), giving memory back when a partition is done: Python workers are used again."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place where it can be)."""
     x = x ^ (x >> np.uint64(31))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.common import hinted, ids_and_texts, mix64, slices, text_bytes, written
+from brindle.llm.common import hinted, ids_and_texts, lean, mix64, parts, slices, text_bytes, written
 from brindle.llm.components import connected_components
 
 POSITIONS, CHUNK, RADIUS = 64, 4, 31
@@ -112,8 +112,9 @@ def has_words(column: pa.Array) -> np.ndarray:
     return total[offsets[1:]] > total[offsets[:-1]]
 
 
+@lean
 def _sign(batches):
-    for b in batches:
+    for b in (p for batch in batches for p in parts(batch, 1)):
         ok = has_words(b.column(1))
         sig = signatures(b.column(1))
         yield pa.RecordBatch.from_arrays(
@@ -149,6 +150,7 @@ def _keyed(chunk: int, errors: int):
     return run
 
 
+@lean
 def _shared(batches):
     """Of a partition that holds whole buckets: (key, lead, node) of those with two nodes or more."""
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -166,6 +168,7 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (key, lead, node)], ["key", "lead", "node"])
 
 
+@lean
 def _crossing(batches):
     """Of whole buckets (key, lead, node, comp): all pairs of nodes in different components, except with the lead."""
     got = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
