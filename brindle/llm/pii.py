@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.common import text_bytes
+from brindle.llm.common import lean, parts, text_bytes
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
 L, ROUNDS, _FAR = len(LABELS), 30, 64
@@ -383,9 +383,10 @@ def clean(column: pa.Array) -> tuple[pa.Array, list[list[tuple[int, int, str]]],
 def _find(shared):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
+    @lean
     def run(batches):
         install(shared.value)
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, 1)):
             text, spans, rows = clean(b.column(1))
             found = [[] for _ in range(b.num_rows)]
             for k, s in zip(rows, spans):
@@ -414,9 +415,10 @@ def redact_private(docs: DataFrame, text_col: str = "text", size_col: str = "n_c
     t, n = names.index(text_col), names.index(size_col) if size_col in names else None
     shared = docs.sparkSession.sparkContext.broadcast(fit())
 
+    @lean
     def run(batches):
         install(shared.value)
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, t)):
             text, _, rows = clean(b.column(t))
             cols = [text if k == t else b.column(k) for k in range(b.num_columns)]
             if n is not None and len(rows):
