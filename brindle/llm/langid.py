@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from brindle.llm.common import slices, text_bytes
+from brindle.llm.common import lean, parts, slices, text_bytes
 
 ORDERS, BITS, SAMPLE = (1, 2, 3), 16, 4000
 #: A document goes if another language than the declared one is more probable by this log-odds in all,
@@ -136,7 +136,7 @@ def _identify(shared):
     def run(batches):
         model = shared.value
         index = {x: k for k, x in enumerate(model.langs)}
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, 1)):
             s, letters = scores(b.column(1), model)
             best = s.argmax(axis=1)
             at = np.array([index.get(x, -1) for x in b.column(2).to_pylist()], np.int64)
@@ -177,11 +177,12 @@ def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "
     i, t, g = (names.index(c) for c in (id_col, text_col, lang_col))
     decide = _identify(shared)
 
+    @lean
     def run(batches):
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, t)):
             text = pc.fill_null(b.column(t).cast(pa.string()), "")
             own = pa.RecordBatch.from_arrays([b.column(i), text, b.column(g).cast(pa.string())], ["_id", "_text", "_lang"])
-            for out in decide([own]):
-                yield b.filter(out.column(3))
+            kept = pa.concat_arrays([out.column(3) for out in decide([own])])
+            yield b.filter(kept)
 
     return docs.mapInArrow(run, docs.schema)
