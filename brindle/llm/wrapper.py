@@ -20,7 +20,6 @@ import html as entities
 import json
 import re
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -162,33 +161,44 @@ def _loose(seq: list) -> list:
 # A wrapper is a list of items, of which ("?", x) may be absent.
 
 
+def _lead(x):
+    while isinstance(x, tuple):
+        x = x[1]
+    return x
+
+
 def _match(a, b):
-    """The item that stands for both, or None."""
+    """(the item that stands for both, the weight of what they have in common), or None."""
     if a == b:
-        return a
+        return a, _weight(a)
     may = isinstance(a, tuple) and a[0] == "?" or isinstance(b, tuple) and b[0] == "?"
     x, y = _core(a), _core(b)
+    weight = _weight(x)
     if x != y:
-        if not (isinstance(x, tuple) and isinstance(y, tuple)) or _core(x[1]) != _core(y[1]):
+        if not (isinstance(x, tuple) and isinstance(y, tuple)) or _lead(x) != _lead(y):
             return None
-        x = ("+", *align(x[1:], y[1:]))
-    return ("?", x) if may else x
+        pairs = _pairs(x[1:], y[1:])
+        x, weight = ("+", *_joined(x[1:], y[1:], pairs)), 1 + sum(p[3] for p in pairs)
+    return ("?", x) if may else x, weight
 
 
-def _weight(m) -> int:
-    return 1 + sum(map(_weight, m[1:])) if isinstance(m, tuple) else 2
+def _weight(x) -> int:
+    x = _core(x)
+    return 1 + sum(map(_weight, x[1:])) if isinstance(x, tuple) else 2
 
 
 def _optional(x):
     return x if isinstance(x, tuple) and x[0] == "?" else ("?", x)
 
 
-def _pairs(a, b) -> list[tuple[int, int, object]]:
-    """Matched places of two sequences in order: equal ends first, then the heaviest common subsequence.
-    Where the table would have more than ``GRID`` cells the rest isn't matched (it becomes optional)."""
+def _pairs(a, b) -> list[tuple[int, int, object, int]]:
+    """Matched places of two sequences in order, with what stands for both and its weight: equal ends first,
+    then the heaviest common subsequence.  An instance of a wrapper is placed in it whole, as nothing
+    weighs more.  Where the table would have more than ``GRID`` cells the rest isn't matched (it becomes
+    optional)."""
     head, out = 0, []
     while head < min(len(a), len(b)) and a[head] == b[head]:
-        out.append((head, head, a[head]))
+        out.append((head, head, a[head], _weight(a[head])))
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
@@ -196,36 +206,34 @@ def _pairs(a, b) -> list[tuple[int, int, object]]:
     n, m = len(a) - head - tail, len(b) - head - tail
     if n and m and n * m <= GRID:
         known: dict = {}
-        best = np.zeros((n + 1, m + 1), np.int32).tolist()
+        best = [[0] * (m + 1) for _ in range(n + 1)]
         got: dict = {}
         for i in range(n - 1, -1, -1):
             row, under = best[i], best[i + 1]
             for j in range(m - 1, -1, -1):
-                x, y = a[head + i], b[head + j]
-                if (x, y) not in known:
-                    hit = _match(x, y)
-                    known[x, y] = hit, 0 if hit is None else _weight(hit)
-                hit, w = known[x, y]
+                key = a[head + i], b[head + j]
+                if key not in known:
+                    known[key] = _match(*key)
+                hit = known[key]
                 row[j] = max(under[j], row[j + 1])
-                if hit is not None and under[j + 1] + w > row[j]:
-                    row[j] = under[j + 1] + w
+                if hit and under[j + 1] + hit[1] > row[j]:
+                    row[j] = under[j + 1] + hit[1]
                     got[i, j] = hit
         i = j = 0
         while i < n and j < m:
             if (i, j) in got:
-                out.append((head + i, head + j, got[i, j]))
+                out.append((head + i, head + j, *got[i, j]))
                 i, j = i + 1, j + 1
             elif best[i + 1][j] >= best[i][j + 1]:
                 i += 1
             else:
                 j += 1
-    return out + [(len(a) - k, len(b) - k, a[-k]) for k in range(tail, 0, -1)]
+    return out + [(len(a) - k, len(b) - k, a[-k], _weight(a[-k])) for k in range(tail, 0, -1)]
 
 
-def align(a, b) -> tuple:
-    """The least general sequence that has both as instances, by one alignment."""
+def _joined(a, b, pairs) -> tuple:
     out, i, j = [], 0, 0
-    for p, q, x in [*_pairs(a, b), (len(a), len(b), None)]:
+    for p, q, x, _ in [*pairs, (len(a), len(b), None, 0)]:
         out += [_optional(y) for y in (*a[i:p], *b[j:q])]
         if x is not None:
             out.append(x)
@@ -233,6 +241,11 @@ def align(a, b) -> tuple:
     return tuple(out)
 
 
+def align(a, b) -> tuple:
+    """The least general sequence that has both as instances, by one alignment."""
+    return _joined(a, b, _pairs(a, b))
+
+
 def infer(expressions) -> tuple:
     """The wrapper of expressions, merged in the given order."""
     out = None
@@ -246,14 +259,14 @@ def slot_map(expression, wrapper) -> list[int]:
     begin = [0]
     for x in wrapper:
         begin.append(begin[-1] + slots([x]))
-    placed = {i: (j, x) for i, j, x in _pairs(expression, wrapper)}
+    placed = {i: j for i, j, _, _ in _pairs(expression, wrapper)}
     out: list[int] = []
     for i, x in enumerate(expression):
         n = slots([x])
         if i not in placed:
             out += [-1] * n
         elif n:
-            j = placed[i][0]
+            j = placed[i]
             if isinstance(x, tuple) and _core(x) != _core(wrapper[j]):
                 out += [begin[j] + k if k >= 0 else -1 for k in slot_map(_core(x)[1:], _core(wrapper[j])[1:])]
             else:
