@@ -1,6 +1,7 @@
 """Operators against brute force, held-out data, exact round trips; queries against their SQL."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -124,8 +125,20 @@ def test_skip_links_carry_a_label():
     assert [k for *_, k in spans] == ["SECRET", "SECRET"]
 
 
-def test_packing_bins_are_full():
-    assert packing.CAPACITY // packing.CLASSES > 0
+def test_packing_bins_are_full(spark):
+    """Only the last bin of a worker's class may be open; every document is packed whole."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bins, total = {}, {}
+    for r in packing.pack(docs, workers=3, capacity=256).collect():
+        key = r["worker"], r["class"]
+        bins.setdefault(key, {}).setdefault(r["bin"], []).append(r["tokens"])
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["tokens"]
+    for (_, j), own in bins.items():
+        assert sorted(own) == list(range(len(own)))
+        assert all(len(own[b]) == j for b in range(len(own) - 1)) and len(own[len(own) - 1]) <= j
+        assert all(sum(x) <= 256 for x in own.values())
+    words = {r["doc_id"]: len(re.findall(r"[^ \t\n\r]+", r["text"] or "")) for r in docs.collect()}
+    assert total == {i: n + 1 for i, n in words.items() if n}
 
 
 def test_bpe_against_the_public_encoder(spark):
