@@ -9,11 +9,11 @@ from brindle.operators.graph import components, written
 K, THRESHOLD = 5, (85, 100)
 
 
-def shingles(tokens: Column, k: int = K) -> Column:
-    """Distinct runs of ``k`` tokens as strings; none if there are fewer tokens.  Shifted copies of the array
+def shingles(tokens: Column, k: int = K, hashed: bool = False) -> Column:
+    """Distinct runs of ``k`` tokens as strings, or as 64-bit hashes; none if there are fewer tokens.  Shifted copies of the array
     are zipped, so the tokens are worked out k times and not once for every run."""
     n = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
-    runs = F.transform(F.arrays_zip(*(F.slice(tokens, F.lit(i + 1), n) for i in range(k))), lambda z: F.concat_ws("\u0001", *(z[str(i)] for i in range(k))))
+    runs = F.transform(F.arrays_zip(*(F.slice(tokens, F.lit(i + 1), n) for i in range(k))), lambda z: (F.xxhash64 if hashed else lambda *x: F.concat_ws("\u0001", *x))(*(z[str(i)] for i in range(k))))
     return F.array_distinct(runs)
 
 
@@ -26,8 +26,8 @@ def similar_pairs(bodies: DataFrame, min_tokens: int = 40, threshold: tuple[int,
     sets themselves are joined to candidates only.
     """
     num, den = threshold
-    sets = bodies.where(F.size("tokens") >= min_tokens).select(F.col("fn_id").alias("id"), "qualified", F.transform(shingles(F.col("tokens"), k), lambda s: F.xxhash64(s)).alias("set"))
-    sets = written(sets.withColumn("set", F.array_sort(F.array_distinct("set"))).withColumn("n", F.size("set")).where("n > 0"), "shingles")
+    sets = bodies.where(F.size("tokens") >= min_tokens).select(F.col("fn_id").alias("id"), "qualified", shingles(F.col("tokens"), k, hashed=True).alias("set"))
+    sets = written(sets.withColumn("n", F.size("set")).where("n > 0"), "shingles")
     each = sets.select("id", "n", F.explode("set").alias("s"))
     freq = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     # in one body, shingles that no other body has come first, and find nothing
