@@ -133,4 +133,4 @@ def _numbered(rows: DataFrame, name: str, file: str, crates: DataFrame, crate: s
 
     order = rows.select(file, crate).distinct().join(F.broadcast(crates.select(F.col("crate_key").alias(crate), "crate_ord")), crate)
     rank = order.withColumn("_file", F.row_number().over(Window.orderBy("crate_ord", file))).select(file, "_file")
-    return rows.join(F.broadcast(rank), file).withColumn(name, (F.col("_file") * (1 << 20) + F.col("ord")).cast("long")).drop("_file", "ord")
+    return rows.join(rank, file).withColumn(name, (F.col("_file") * (1 << 20) + F.col("ord")).cast("long")).drop("_file", "ord")
