@@ -20,6 +20,7 @@ import html as entities
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -194,8 +195,7 @@ def _optional(x):
 def _pairs(a, b) -> list[tuple[int, int, object, int]]:
     """Matched places of two sequences in order, with what stands for both and its weight: equal ends first,
     then the heaviest common subsequence.  An instance of a wrapper is placed in it whole, as nothing
-    weighs more.  Where the table would have more than ``GRID`` cells the rest isn't matched (it becomes
-    optional)."""
+    weighs more."""
     head, out = 0, []
     while head < min(len(a), len(b)) and a[head] == b[head]:
         out.append((head, head, a[head], _weight(a[head])))
@@ -204,33 +204,87 @@ def _pairs(a, b) -> list[tuple[int, int, object, int]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     n, m = len(a) - head - tail, len(b) - head - tail
-    if n and m and n * m <= GRID:
-        known: dict = {}
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        got: dict = {}
-        for i in range(n - 1, -1, -1):
-            row, under = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                key = a[head + i], b[head + j]
-                if key not in known:
-                    known[key] = _match(*key)
-                hit = known[key]
-                row[j] = max(under[j], row[j + 1])
-                if hit and under[j + 1] + hit[1] > row[j]:
-                    row[j] = under[j + 1] + hit[1]
-                    got[i, j] = hit
-        i = j = 0
-        while i < n and j < m:
-            if (i, j) in got:
-                out.append((head + i, head + j, *got[i, j]))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    if n and m:
+        out += [(head + i, head + j, x, w) for i, j, x, w in _common(a[head : head + n], b[head : head + m])]
     return out + [(len(a) - k, len(b) - k, a[-k], _weight(a[-k])) for k in range(tail, 0, -1)]
 
 
+def _common(a, b) -> list[tuple[int, int, object, int]]:
+    """The heaviest common subsequence.  Where its table would have more than ``GRID`` cells it is halved as
+    Hirschberg does, in memory linear in the sequences, until the tables are small enough."""
+    known: dict = {}
+    if len(a) * len(b) <= GRID:
+        return _table(a, b, known)
+    ids: dict = {}
+    at = np.array([ids.setdefault(y, len(ids)) for y in b])
+    like: dict = {}
+    for y, k in ids.items():
+        like.setdefault(_lead(y), []).append((y, k))
+    weights: dict = {}
+
+    def gain(x):
+        """The weights of an item of a with each of b's, 0 where they don't match."""
+        if x not in weights:
+            own = []
+            for y, k in like.get(_lead(x), ()):
+                if (x, y) not in known:
+                    known[x, y] = _match(x, y)
+                if known[x, y]:
+                    own.append((k, known[x, y][1]))
+            weights[x] = own
+        w = np.zeros(len(ids), np.int64)
+        for k, v in weights[x]:
+            w[k] = v
+        return w
+
+    def best(items, places):
+        """[j]: the weight of the items, in the given order, with the first j of the places."""
+        row = np.zeros(len(places) + 1, np.int64)
+        for x in items:
+            w = gain(x)[places]
+            row[1:] = np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0))
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if k - i < 2 or (k - i) * (m - j) <= GRID:
+            out += [(i + p, j + q, x, w) for p, q, x, w in _table(a[i:k], b[j:m], known)]
+            continue
+        half = (i + k) // 2
+        cut = j + int(np.argmax(best(a[i:half], at[j:m]) + best(a[half:k][::-1], at[j:m][::-1])[::-1]))
+        todo += [(half, k, cut, m), (i, half, j, cut)]
+    return out
+
+
+def _table(a, b, known: dict) -> list[tuple[int, int, object, int]]:
+    n, m, out = len(a), len(b), []
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    got: dict = {}
+    for i in range(n - 1, -1, -1):
+        row, under = best[i], best[i + 1]
+        for j in range(m - 1, -1, -1):
+            key = a[i], b[j]
+            if key not in known:
+                known[key] = _match(*key)
+            hit = known[key]
+            row[j] = max(under[j], row[j + 1])
+            if hit and under[j + 1] + hit[1] > row[j]:
+                row[j] = under[j + 1] + hit[1]
+                got[i, j] = hit
+    i = j = 0
+    while i < n and j < m:
+        if (i, j) in got:
+            out.append((i, j, *got[i, j]))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def _joined(a, b, pairs) -> tuple:
     out, i, j = [], 0, 0
     for p, q, x, _ in [*pairs, (len(a), len(b), None, 0)]:
@@ -381,7 +435,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty html has no field and the text "".  Null URLs and those without a host are taken as
     one host, "".  Null ids and repeated rows give a row each.  A host with one page has no fixed slot.
-    A text whose expression found no place in its host's wrapper (see ``_pairs``) has slot -1.  An empty
+    A text whose expression found no place in its host's wrapper has slot -1.  An empty
     table gives no rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
