@@ -3,7 +3,8 @@
 Tokens are runs without white space; those that hold a digit, "@" or "=" are cut further (``pieces``): at
 separators, quotes and brackets, behind "key=" and "key:", where scripts change, and around every e-mail
 and IP address.  So each entity of a CSV line, a log line or minified JSON is a token of its own.  A token
-is *telling* if it holds a digit, "@" or "="; all others are plain.  Labels are O and the kinds of ``LABELS``.  Potentials: token features, a transition between
+is *telling* if it holds a digit of any script, "@" or "=", or a keyword with its value, follows a secret's
+keyword, "=" or ":", or repeats a word that stands where a secret would; all others are plain.  Labels are O and the kinds of ``LABELS``.  Potentials: token features, a transition between
 neighbours, and a skip potential between telling tokens with the same core (its letters and digits,
 folded), however far apart, linking each occurrence to the next, so that a document's labels for an
 entity agree.
@@ -52,6 +53,10 @@ _RUN = r"(?:[^,;|&\"'<>\[\]{}\x85\xa0\u0370-\U0010ffff]|\d)+"
 _PIECE, _PLAIN = re.compile(f"{_VALUE}|{_RUN}"), re.compile(_RUN)
 #: Behind "key=" and "key:", around brackets of a call, and between numbers as long as entities.
 _CUT = re.compile(r"(?<=\w=)(?=[\w+(@])|(?<=[^\W\d]:)(?=[\w+(@])|(?<=\w)(?=\()|(?<=\))(?=[^\W\d])|(?:(?<=[-.]\d{4})|(?<=\d{9}))(?=/)")
+#: Where a token without a digit may be telling: it holds a keyword with its value, or follows one, "=" or ":".
+_HINT = re.compile(rb"(?i:token|secret|passw(?:or)?d|pwd|key|auth|bearer)[^\w\s]{0,4}(?:[=:]\S|\s+(?=\S))|[=:][^\w\s]*\s+(?=\S)")
+_DIGIT = re.compile(r"(?![0-9])\d")
+_ROWS = r"(?i)token|secret|passw(?:or)?d|pwd|key|auth|bearer|\p{Nd}"
 _FEATURES = (
     lambda c: bool(_EMAIL.search(c)),
     lambda c: bool(_IP.search(c)),
@@ -73,8 +78,9 @@ _FEATURES = (
     lambda c: bool(re.fullmatch(r"[\d.,:/%\-]+", c)) and any(x.isdecimal() for x in c),
     lambda c: not any(x.isdigit() for x in c),
 )
-#: Features of neighbours: a keyword one or two tokens before, "=" or ":" just before.
-_CONTEXT = 6
+#: Features of neighbours: a keyword one or two tokens before, "=" or ":" just before, and a word
+#: in the place of a secret.
+_CONTEXT = 7
 WIDTH = 1 + len(_FEATURES) + _CONTEXT
 
 
@@ -111,6 +117,21 @@ def _shape(c: str) -> tuple[float, ...]:
     return (1.0, *(float(f(c)) for f in _FEATURES))
 
 
+def stands_for_secret(token: str, before: str, before2: str) -> bool:
+    """Whether a token without digits follows "keyword =" or "keyword:", and is long or quoted."""
+    key = before if len(before.strip("\"'=:")) else before2
+    a, b = core(token)
+    return before.rstrip(_ENDS).endswith(("=", ":")) and bool(_KEYWORD.match(key)) and b - a >= (6 if token[0] in "\"'" else 10) and not any(x.isdigit() for x in token)
+
+
+_ENDS = "\"'!#%.,"
+
+
+def is_node(token: str, before: str) -> bool:
+    """Telling by itself, or by the token before it."""
+    return is_telling(token) or bool(_ASSIGN.search(token)) or any(x.isalnum() for x in token) and (before.rstrip(_ENDS).endswith(("=", ":")) or bool(_KEYWORD.match(before)))
+
+
 def features(token: str, before: str, before2: str) -> list[float]:
     """What the model sees of a telling token and the two tokens before it."""
     a, b = core(token)
@@ -122,6 +143,7 @@ def features(token: str, before: str, before2: str) -> list[float]:
         float(any(_CARD_WORD.match(x) for x in near)),
         float(any(_CALL_WORD.match(x) for x in near)),
         float(before.rstrip("\"'").endswith(("=", ":"))),
+        float(stands_for_secret(token, before, before2)),
         float(bool(re.fullmatch(r"\+\d{1,3}", before)) or bool(re.fullmatch(r"\W*\(\d{2,5}\)\W*", before))),
     ]
 
@@ -134,11 +156,14 @@ def training_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
     def entity():
-        k = r.randrange(11)
+        k = r.randrange(12)
         if k == 0:
             return [(f"{word()}.{digits(2)}@{word()}{digits(1)}.example.{r.choice(['com', 'org'])}", 1)]
         if k == 1:
             return [(f"{word()}@{word()}.net", 1)]
+        if k == 11:
+            key, secret = r.choice(["token", "secret", "password", "api_key"]), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(10, 24)))
+            return [(f"{key}:", 0), (secret, 5)] if r.random() < 0.5 else [(key, 0), (r.choice("=:"), 0), (f'"{secret}"', 5)]
         if k == 2:
             return [(f"+{r.randint(1, 99)}", 2), (f"({digits(3)})", 2), (f"{digits(3)}-{digits(4)}", 2)]
         if k == 3:
@@ -158,7 +183,9 @@ def training_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int
         return [*([("ssn", 0)] if r.random() < 0.5 else []), (f"{digits(3)}-{digits(2)}-{digits(4)}", 6)] if r.random() < 0.6 else [("iban", 0), (f"DE{digits(20)}", 6)]
 
     def other():
-        k = r.randrange(12)
+        k = r.randrange(15)
+        if k > 11:
+            return [(r.choice(["note:", "see:", "key", "token", "secret", "="]), 0), (word(), 0)]
         options = [digits(1), digits(2), digits(3), str(r.randint(1500, 2100)), f"{digits(1)}.{digits(1)}", f"{digits(1)}.", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", digits(r.randint(5, 8)), f"{digits(2)}%", f"{word()}{digits(1)}", r.choice(["=", "x=1", "a=b", "@", "@" + word()])]
         return [(options[k], 0)]
 
@@ -178,7 +205,7 @@ def training_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int
 
 
 def is_telling(token: str) -> bool:
-    return any(x in "0123456789@=" for x in token)
+    return any(x in "0123456789@=" or x > "\x7f" and x.isdecimal() for x in token)
 
 
 def skips(keys: list[str]) -> list[tuple[int, int]]:
@@ -218,11 +245,11 @@ def fit() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights of features, of plain tokens, of transitions and of skips: all log potentials."""
     x, y, prev, nxt, pairs = [], [], [], [], []
     for tokens, labels in training_rows():
-        cut = [(p, k if is_telling(p) else 0) for t, k in zip(tokens, labels) for p in ([p for _, p in pieces(t)] if is_telling(t) else [t])]
+        cut = [(p, k if is_telling(p) or not is_telling(t) else 0) for t, k in zip(tokens, labels) for p in ([p for _, p in pieces(t)] if is_telling(t) else [t])]
         tokens, labels = zip(*cut)
         base, where = len(y), {}
         for i, t in enumerate(tokens):
-            if is_telling(t):
+            if is_node(t, tokens[i - 1] if i else ""):
                 where[i] = len(y)
                 x.append(features(t, tokens[i - 1] if i else "", tokens[i - 2] if i > 1 else ""))
             else:
@@ -319,7 +346,7 @@ def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: n
 _TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
-def _gaps(text: str) -> tuple[list[str], list[tuple[int, int]], list[list[float]], list[int], int]:
+def _gaps(text: str, again: frozenset = frozenset()) -> tuple[list[str], list[tuple[int, int]], list[list[float]], list[int], int]:
     """Telling tokens, their spans, features, the plain tokens before each, and those after the last."""
     data = text.encode()
     raw = np.frombuffer(data, np.uint8)
@@ -327,13 +354,18 @@ def _gaps(text: str) -> tuple[list[str], list[tuple[int, int]], list[list[float]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
-    hit = np.unique(np.searchsorted(starts, np.flatnonzero(_TELLING[raw]), side="right") - 1)
+    bytes_at = [np.flatnonzero(_TELLING[raw])]
+    bytes_at.append(np.array([m.end() if space[m.end() - 1] else m.end() - 1 for m in _HINT.finditer(data)], np.int64))
     ends = np.append(starts[1:], len(raw))
     one_byte = len(data) == len(text)
     if not one_byte:
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        bytes_at.append(np.searchsorted(chars, np.array([m.start() for m in _DIGIT.finditer(text)], np.int64), side="right") - 1)
+    for word in again:
+        bytes_at.append(np.array([m.start() for m in re.finditer(re.escape(word.encode()), data)], np.int64))
+    hit = np.unique(np.searchsorted(starts, np.concatenate(bytes_at), side="right") - 1)
     token = lambda k: data[starts[k] : ends[k]].rstrip(b" \t\n\r\x0b\x0c").decode() if k >= 0 else ""
-    tokens, spans, feats, plain, last, run, near = [], [], [], [], -1, 0, ("", "")
+    tokens, spans, feats, plain, last, run, near, words = [], [], [], [], -1, 0, ("", ""), set()
     for k in hit:
         a = int(starts[k] if one_byte else chars[starts[k]])
         run += int(k - last - 1)
@@ -341,7 +373,10 @@ def _gaps(text: str) -> tuple[list[str], list[tuple[int, int]], list[list[float]
             near = (token(k - 1), token(k - 2) if k - last > 2 else near[0])
         last = k
         for at, t in pieces(token(k)):
-            if is_telling(t):
+            a1, a2 = core(t)
+            if is_node(t, near[0]) or t[a1:a2] in again:
+                if not again and stands_for_secret(t, *near):
+                    words.add(t[a1:a2])
                 tokens.append(t)
                 spans.append((a + at, a + at + len(t)))
                 feats.append(features(t, *near))
@@ -350,6 +385,8 @@ def _gaps(text: str) -> tuple[list[str], list[tuple[int, int]], list[list[float]
             else:
                 run += 1
             near = (t, near[0])
+    if words:  # those that stand for a secret are nodes wherever else they are
+        return _gaps(text, frozenset(words))
     return tokens, spans, feats, plain, run + int(len(starts) - last - 1)
 
 
@@ -404,7 +441,7 @@ def clean(column: pa.Array) -> tuple[pa.Array, list[list[tuple[int, int, str]]],
     filled = pc.fill_null(column.cast(pa.string()), "")
     data, offsets = text_bytes(filled)
     told = np.concatenate([[0], np.cumsum(_TELLING[data])])[offsets]
-    rows = np.flatnonzero(told[1:] > told[:-1])
+    rows = np.flatnonzero((told[1:] > told[:-1]) | pc.match_substring_regex(filled, _ROWS).to_numpy(zero_copy_only=False))
     texts = filled.take(pa.array(rows)).to_pylist()
     spans = label(texts)
     changed = np.array([k for k, s in enumerate(spans) if s], np.int64)

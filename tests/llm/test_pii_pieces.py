@@ -27,3 +27,15 @@ def test_every_entity_of_a_run(text, want):
 def test_long_run():
     text = ",".join(f"u{k}@x.org" for k in range(20000))
     assert clean(text) == ",".join(["[EMAIL]"] * 20000)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("the password: correcthorsebattery was set", "the password: [SECRET] was set"),
+    ('we set token = "abcdefghijkl" there', 'we set token = "[SECRET]" there'),
+    ("call ٥٥٥-١٢٣-٤٥٦٧ now", "call [PHONE] now"),
+    ("the key is under the mat, note: nothing else", "the key is under the mat, note: nothing else"),
+])
+def test_tokens_without_ascii_digits(text, want):
+    import pyarrow as pa
+
+    assert pii.clean(pa.array([text]))[0].to_pylist() == [want]
