@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from brindle.llm.common import lean, parts, text_bytes
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
-L, ROUNDS, _FAR = len(LABELS), 30, 64
+L, _FAR = len(LABELS), 64
 _TELLING = np.zeros(256, bool)
 _TELLING[[*b"0123456789@="]] = True
 _SPACE = np.zeros(256, bool)
@@ -220,6 +220,8 @@ def skips(keys: list[str]) -> list[tuple[int, int]]:
 
 def skip_key(token: str) -> str:
     """What makes tokens similar: letters and digits alone, folded.  One or two characters link nothing."""
+    m = _ASSIGN.search(token)
+    token = m.group(1) if m else token
     a, b = core(token)
     k = "".join(x for x in token[a:b].casefold() if x.isalnum())
     return k if len(k) > 4 else ""
@@ -299,12 +301,14 @@ def _runs() -> np.ndarray:
     return np.stack(out)
 
 
-def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: np.ndarray, gap: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: np.ndarray, gap: np.ndarray, skip: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Loopy sum-product over telling tokens.
 
     unary: [n, L] log potentials; before, after: plain tokens up to the document's start or end (-1: a
     telling token lies between); chain: [m, 2] neighbouring telling tokens, gap: plain tokens between
-    them; skip: [k, 2].  Exact if there is no loop.
+    them; skip: [k, 2].  Only messages whose inputs changed are sent again, until none changes (or for
+    ``rounds``): exact if there is no loop, however long a chain is.  Where loops keep messages from
+    settling it ends after two rounds a telling token of the longest document, and 200.
     """
     _, flat, _, s = model()
     runs = _runs()
@@ -326,17 +330,28 @@ def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: n
     ends_at = np.flatnonzero(np.diff(dst[order], prepend=-1))
     into = dst[order][ends_at]
     msg, logpot = np.zeros((2 * m, L)), np.log(pot + 1e-300)
-    for k in range(max(rounds, 1)):
-        total = logpot.copy()
-        total[into] += np.add.reduceat(msg[order], ends_at, axis=0)
-        out = total[src] - msg[back]
+    by = np.argsort(src, kind="stable")
+    nth = np.arange(2 * m) - np.searchsorted(src[by], src[by])
+    leaving = np.full((len(pot), nth.max() + 1), -1)
+    leaving[src[by], nth] = by
+    doc = np.maximum(np.cumsum(before >= 0) - 1, 0)
+    loops = np.isin(doc, doc[skip.reshape(-1, 2)[:, 0]])
+    total, active = logpot.copy(), np.arange(2 * m)
+    for k in range(rounds or 2 * int(np.bincount(doc).max()) + 200):
+        old = msg[active]
+        out = total[src[active]] - msg[back[active]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.log(np.einsum("el,elm->em", out, psi) + 1e-300)
+        new = np.log(np.einsum("el,elm->em", out, psi[active]) + 1e-300)
         new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(np.exp(new) - np.exp(msg)).max()
-        msg = new if k < 8 else 0.5 * (new + msg)  # damped once it should have settled
-        if moved < 1e-7:
+        moved = np.abs(np.exp(new) - np.exp(old)).max(axis=1) > 1e-7
+        if k >= 8:  # damped once it should have settled
+            new = np.where(loops[src[active]][:, None], 0.5 * (new + old), new)
+        np.add.at(total, dst[active], new - old)
+        msg[active] = new
+        if not moved.any():
             break
+        then = leaving[np.unique(dst[active[moved]])].ravel()
+        active = np.unique(np.concatenate([then[then >= 0], active[moved]]))
     total = logpot.copy()
     total[into] += np.add.reduceat(msg[order], ends_at, axis=0)
     b = np.exp(total - total.max(axis=1, keepdims=True))
@@ -390,6 +405,22 @@ def _gaps(text: str, again: frozenset = frozenset()) -> tuple[list[str], list[tu
     return tokens, spans, feats, plain, run + int(len(starts) - last - 1)
 
 
+#: What occurrences of a core share within a document: "keyword=value" and the context before it.
+_SHARED = [15, *range(1 + len(_FEATURES), WIDTH - 1)]
+
+
+def _pooled(feats: list[list[float]], keys: list[str]) -> list[list[float]]:
+    """The features, with the evidence of any occurrence of a core given to all of them."""
+    seen: dict = {}
+    for k, f in zip(keys, feats):
+        seen[k] = [max(x, f[c]) for x, c in zip(seen[k], _SHARED)] if k in seen else [f[c] for c in _SHARED]
+    out = [list(f) for f in feats]
+    for k, f in zip(keys, out):
+        for c, x in zip(_SHARED, seen[k]):
+            f[c] = x
+    return out
+
+
 def label(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the entities of each text, in one message-passing run over all of them."""
     w, _, _, _ = model()
@@ -402,13 +433,13 @@ def label(texts: list[str]) -> list[list[tuple[int, int, str]]]:
         base = len(tokens)
         tokens += own
         spans += at
-        feats += f
+        keys = [skip_key(t) or f"#{k}" for k, t in enumerate(own)]
+        feats += _pooled(f, keys)
         owner += [d] * len(own)
         before += [plain[0], *[-1] * (len(own) - 1)]
         after += [*[-1] * (len(own) - 1), rest]
         chain += [(base + k, base + k + 1) for k in range(len(own) - 1)]
         gap += plain[1:]
-        keys = [skip_key(t) or f"#{k}" for k, t in enumerate(own)]
         skip += [(base + a, base + b) for a, b in skips(keys)]
     if not tokens:
         return found

@@ -39,3 +39,32 @@ def test_tokens_without_ascii_digits(text, want):
     import pyarrow as pa
 
     assert pii.clean(pa.array([text]))[0].to_pylist() == [want]
+
+
+@pytest.mark.parametrize("first, again", [("password: correcthorsebattery", "correcthorsebattery"), ("token=q8w7e6r5t4y3", "q8w7e6r5t4y3")])
+def test_evidence_reaches_every_occurrence(first, again):
+    text = f"the {first} was set " + f"and {again} it is " * 100
+    spans = pii.label([text])[0]
+    assert [k for *_, k in spans] == ["SECRET"] * 101
+    assert {text[a:b] for a, b, _ in spans} == {again}
+
+
+def test_long_chains_are_exact():
+    import numpy as np
+
+    r, n = np.random.default_rng(3), 400
+    unary, t = r.normal(0, 0.01, (n, pii.L)), pii.model()[2] * 0 + 6 * np.eye(pii.L)
+    unary[0, 2] = 9
+    runs = np.exp(t - t.max())[None]
+    old, pii._runs = pii._runs, lambda: runs
+    try:
+        got = pii.marginals(unary, np.array([0, *[-1] * (n - 1)]), np.array([*[-1] * (n - 1), 0]), np.array([(k, k + 1) for k in range(n - 1)]), np.zeros(n - 1, int), np.zeros((0, 2), int))
+    finally:
+        pii._runs = old
+    a, b = [unary[0]], [np.zeros(pii.L)]
+    for i in range(1, n):
+        a.append(unary[i] + np.logaddexp.reduce(a[-1][:, None] + t, axis=0))
+    for i in range(n - 1, 0, -1):
+        b.append(np.logaddexp.reduce(t + (unary[i] + b[-1])[None, :], axis=1))
+    want = np.exp(np.array([x + y - np.logaddexp.reduce(x + y) for x, y in zip(a, b[::-1])]))
+    assert np.allclose(got, want, atol=1e-4)
