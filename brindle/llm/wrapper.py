@@ -1,14 +1,15 @@
 """HTML extraction by union-free wrappers, inferred per host.
 
 A page becomes a stream of tags and text marks ("#", or "~" inside head, nav, header, footer, aside and
-the like).  ``fold`` turns repeats of a stream into groups: equal blocks that follow one another become
+the like).  ``shape`` turns repeats of a stream into groups: equal blocks that follow one another become
 one ("+" block), and blocks that differ only in their inner groups do too, with those groups optional.
-So pages of one template have few distinct expressions, however long they are.  ``align`` then merges
-the expressions of a host, one after the other: what both have is matched by a longest common
+A block may be of any length.  So pages of one template have few distinct expressions, unless their rows differ
+in more than that.  ``align`` then merges the expressions of a host, one after the other: a single
+instance of what the other one repeats becomes a group, what both have is matched by a heaviest common
 subsequence, what only one has becomes optional, and groups are merged inside.  The result is a regular
 expression without unions: tags, text slots, optional parts ("?") and repeats ("+").
 
-Only distinct expressions are shuffled: first by host and a salt, then by host, so a host with a third of
+Only distinct expressions are shuffled, and merged in a tree of small tasks, so a host with a third of
 all pages is no single task.  A slot that has the same text wherever it occurs on all of a host's
 pages (two at least) is part of the template and isn't extracted.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import json
 import re
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from brindle.llm.common import hinted, lean, parts, written
 from brindle.llm.urltree import host_of
 
-PERIOD, SALTS, GRID = 24, 32, 1 << 22
+FAN, GRID = 64, 1 << 22
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?[A-Za-z][A-Za-z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[^<>]*>|[^<]+|<", re.S | re.I)
 ASIDE = frozenset("head nav header footer aside form button select menu".split())
 
@@ -73,90 +75,171 @@ def slots(items) -> int:
     return sum(slots(x[1:]) if isinstance(x, tuple) else _is_mark(x) for x in items)
 
 
-def fold(stream: list[str], texts: list[str]) -> tuple[tuple, list[list[str]]]:
-    """The stream with its repeats as groups, and the texts of each slot, slots in order."""
-    at = iter(texts)
-    seq = [(x, [[next(at)]] if _is_mark(x) else []) for x in stream]
-    while True:
-        before = len(seq)
-        for period in range(1, PERIOD + 1):
-            seq = _squares(seq, period)
-        seq = _loose(seq)
-        if len(seq) == before:
-            return tuple(x for x, _ in seq), [s for _, own in seq for s in own]
-
-
-def _squares(seq: list, period: int) -> list:
-    out, i, n = [], 0, len(seq)
-    names = [x for x, _ in seq]
-    while i < n:
-        k = i + period
-        if k + period <= n and names[i] == names[k] and names[i:k] == names[k : k + period]:
-            k += period
-            while k + period <= n and names[i:k][:period] == names[k : k + period]:
-                k += period
-            own = [[] for _ in range(slots(names[i : i + period]))]
-            for j in range(i, k, period):
-                for mine, new in zip(own, (s for _, o in seq[j : j + period] for s in o)):
-                    mine += new
-            out.append((_repeat(tuple(names[i : i + period])), own))
-            i = k
-        else:
-            out.append(seq[i])
-            i += 1
+def _runs(x: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(period, begin, end) of the maximal stretches of ``x`` that repeat with a period of ``least`` or more, two
+    periods long at least; shortest periods first, then from the left.
+
+    Every such stretch of period p holds two neighbouring multiples of p with equal items, so only those
+    pairs (n ln n of them) are extended both ways, by the ranks of stretches of 2, 4, 8 ... items.
+    Nothing is hashed and no period is left out.
+    """
+    n = len(x)
+    if n < 2 * least:
+        return []
+    period = np.arange(least, n // 2 + 1)
+    count = (n - 1) // period
+    p = np.repeat(period, count)
+    i = (np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)) * p
+    some = x[i] == x[i + p]
+    i, p = i[some], p[some]
+    if not len(i):
+        return []
+    ranks = [x]
+    while len(ranks[-1]) > 1 << (len(ranks) - 1):
+        r, w = ranks[-1], 1 << (len(ranks) - 1)
+        ranks.append(np.unique(r[:-w].astype(np.int64) * (int(r.max()) + 1) + r[w:], return_inverse=True)[1])
+    on, off = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    j = i + p
+    for k in reversed(range(len(ranks))):
+        r, w = ranks[k], 1 << k
+        at = np.flatnonzero(j + on < len(r))
+        on[at[r[i[at] + on[at]] == r[j[at] + on[at]]]] += w
+        at = np.flatnonzero(i - off - w >= 0)
+        off[at[r[i[at] - off[at] - w] == r[j[at] - off[at] - w]]] += w
+    long = on + off >= p
+    return sorted(set(zip(p[long].tolist(), (i - off)[long].tolist(), (j + on)[long].tolist())))
+
+
+def _levels(stream) -> list[int]:
+    """1 for a start tag that is closed, -1 for the end tag that closes it, and 0 for everything else: an end tag
+    closes the last open start tag of its name, and leaves those after it unclosed."""
+    out, open_, held = [0] * len(stream), [], {}
+    for i, x in enumerate(stream):
+        if _is_mark(x):
+            continue
+        if x[0] != "/":
+            open_.append(i)
+            held[x] = held.get(x, 0) + 1
+        elif held.get(x[1:]):
+            while True:
+                k = open_.pop()
+                held[stream[k]] -= 1
+                if stream[k] == x[1:]:
+                    break
+            out[k], out[i] = 1, -1
     return out
 
 
+def _blocks(names: list, levels: list[int], least: int, fits=None) -> list[tuple[int, int, int]]:
+    """(begin, period, copies) of repeats to be joined, apart from each other: the shortest periods first.  A block
+    begins where the fewest elements are open, and holds elements whole."""
+    ids: dict = {}
+    depth = [0]
+    for x in levels:
+        depth.append(depth[-1] + x)
+    taken, out = bytearray(len(names)), []
+    for p, s, e in _runs(np.array([ids.setdefault(x, len(ids)) for x in names]), least):
+        o = min(range(s, s + p), key=depth.__getitem__)
+        copies = 0
+        while o + (copies + 1) * p <= e and depth[o + (copies + 1) * p] == depth[o] == min(depth[o + copies * p : o + (copies + 1) * p]):
+            copies += 1
+        end = o + copies * p
+        if copies > 1 and not any(taken[o:end]) and (fits is None or fits(o, end)):
+            taken[o:end] = b"\1" * (end - o)
+            out.append((o, p, copies))
+    return sorted(out)
+
+
+_SHAPES: dict = {}
+_HELD = [0]
+
+
+def shape(stream: tuple) -> tuple[tuple, str, list[int], int]:
+    """The stream with its repeats as groups, that as text, the slot of each of its texts, and the number of slots.
+    Pages of one template have few distinct streams, so they are kept (as many as a few MB hold)."""
+    known = _SHAPES.get(stream)
+    if known is None:
+        marks = iter(range(len(stream)))
+        seq = [(x, [[next(marks)]] if _is_mark(x) else [], level) for x, level in zip(stream, _levels(stream))]
+        while True:
+            before = len(seq)
+            seq = _strict(seq)
+            if len(seq) == before:
+                seq = _loose(seq)
+                if len(seq) == before:
+                    break
+        own = [s for _, slot, _ in seq for s in slot]
+        slot = [0] * sum(map(len, own))
+        for k, places in enumerate(own):
+            for t in places:
+                slot[t] = k
+        expr = tuple(x for x, *_ in seq)
+        if _HELD[0] > 1 << 20:
+            _SHAPES.clear()
+            _HELD[0] = 0
+        _HELD[0] += len(stream)
+        known = _SHAPES[stream] = expr, dump(expr), slot, len(own)
+    return known
+
+
+def fold(stream: list[str], texts: list) -> tuple[tuple, list[list]]:
+    """The stream with its repeats as groups, and the texts of each slot, slots in order."""
+    expr, _, slot, n = shape(tuple(stream))
+    own: list[list] = [[] for _ in range(n)]
+    for k, t in zip(slot, texts):
+        own[k].append(t)
+    return expr, own
+
+
+def _strict(seq: list) -> list:
+    """Joins equal blocks that follow one another."""
+    names, out, at = [x for x, *_ in seq], [], 0
+    for o, p, copies in _blocks(names, [level for *_, level in seq], 1):
+        out += seq[at:o]
+        at = o + p * copies
+        own = [sum(same, []) for same in zip(*([s for _, slot, _ in seq[k : k + p] for s in slot] for k in range(o, at, p)))]
+        out.append((_repeat(tuple(names[o : o + p])), own, 0))
+    return out + seq[at:]
+
+
 def _core(x):
     return x[1] if isinstance(x, tuple) and x[0] == "?" else x
 
 
 def _units(seq: list) -> list:
     """Plain items, each with the groups that follow it."""
-    out = [(None, [], [])]
-    for x, own in seq:
+    out = [(None, [], [], 0)]
+    for x, own, level in seq:
         if isinstance(x, tuple):
-            out[-1][2].append((x, own))
+            out[-1][2].append((x, own, 0))
         else:
-            out.append((x, own, []))
+            out.append((x, own, [], level))
     return out
 
 
 def _loose(seq: list) -> list:
-    """Joins blocks that are equal but for the groups in them; the shortest block first."""
-    units = _units(seq)
-    names = [u[0] for u in units]
-    n = len(units)
-    for period in range(2, PERIOD + 1):
-        for i in range(1, n - 2 * period + 1):
-            if names[i] != names[i + period] or names[i : i + period] != names[i + period : i + 2 * period]:
-                continue
-            k = i + 2 * period
-            while names[k : k + period] == names[i : i + period]:
-                k += period
-            if not any(u[2] for u in units[i:k]):
-                continue
-            block, own = [], []
-            for j in range(period):
-                column = units[i + j : k : period]
-                block.append(column[0][0])
-                own += [sum(x, []) for x in zip(*(u[1] for u in column))]
-                kinds: dict = {}
-                for u in column:
-                    for x, _ in u[2]:
-                        kinds.setdefault(_core(x), [])
-                for x in kinds:
-                    seen = [(y, o) for u in column for y, o in u[2] if _core(y) == x]
-                    each = all(sum(y == x for y, _ in u[2]) == 1 for u in column)
-                    block.append(x if each else ("?", x))
-                    own += [sum(s, []) for s in zip(*(o for _, o in seen))]
-            rest = []
-            for u in [*units[:i], (_repeat(tuple(block)), own, []), *units[k:]]:
-                if u[0] is not None:
-                    rest.append((u[0], u[1]))
-                rest += u[2]
-            return rest
-    return seq
+    """Joins blocks that are equal but for the groups in them."""
+    first, *units = _units(seq)
+    out, at = list(first[2]), 0
+    flat = lambda some: [y for u in some for y in ((u[0], u[1], u[3]), *u[2])]
+    for o, p, copies in _blocks([u[0] for u in units], [u[3] for u in units], 2, lambda a, b: any(u[2] for u in units[a:b])):
+        out += flat(units[at:o])
+        at = o + p * copies
+        block, own = [], []
+        for j in range(p):
+            column = units[o + j : at : p]
+            block.append(column[0][0])
+            own += [sum(x, []) for x in zip(*(u[1] for u in column))]
+            kinds: dict = {}
+            for k, u in enumerate(column):
+                for x, slot, _ in u[2]:
+                    kinds.setdefault(_core(x), []).append((k, x, slot))
+            for x, seen in kinds.items():
+                each = len(seen) == copies == len({k for k, y, _ in seen if y == x})
+                block.append(x if each else ("?", x))
+                own += [sum(s, []) for s in zip(*(slot for *_, slot in seen))]
+        out.append((_repeat(tuple(block)), own, 0))
+    return out + flat(units[at:])
 
 
 # A wrapper is a list of items, of which ("?", x) may be absent.
@@ -295,8 +378,55 @@ def _joined(a, b, pairs) -> tuple:
     return tuple(out)
 
 
+def _bodies(items, out: dict | None = None) -> tuple[dict, int]:
+    """{nesting: {first plain item: bodies, longest first}} of the groups in items that are whole elements (a body is given
+    by its plain items), and how deep groups are nested in them."""
+    out, deep = {} if out is None else out, 0
+    for x in items:
+        if isinstance(x, tuple):
+            g = _core(x)
+            inner = _bodies(g[1:], out)[1] if isinstance(g, tuple) else -1
+            deep = max(deep, inner + 1)
+            body = tuple(y for y in g[1:] if not isinstance(y, tuple)) if isinstance(g, tuple) else ()
+            if body and body[-1] == "/" + body[0]:
+                own = out.setdefault(inner, {}).setdefault(body[0], [])
+                if body not in own:
+                    own.append(body)
+                    own.sort(key=lambda y: (-len(y), y))
+    return out, deep
+
+
+def _grouped(items, bodies: dict, whole: bool = False) -> tuple:
+    """The items with each single instance of one of the bodies as a group, inner ones first.  ``whole``: the items are a
+    group's own body, which is none."""
+    items = tuple((x[0], *_grouped(x[1:], bodies, x[0] == "+")) if isinstance(x, tuple) else x for x in items)
+    for level in sorted(bodies):
+        out, i = [], 0
+        while i < len(items):
+            for body in bodies[level].get(items[i], ()) if not isinstance(items[i], tuple) else ():
+                j = i
+                for want in body:
+                    while j > i and j < len(items) and isinstance(items[j], tuple):
+                        j += 1
+                    if j == len(items) or items[j] != want:
+                        break
+                    j += 1
+                else:
+                    if not (whole and i == 0 and j == len(items)):
+                        out.append(("+", *items[i:j]))
+                        i = j
+                        break
+            else:
+                out.append(items[i])
+                i += 1
+        items = tuple(out)
+    return items
+
+
 def align(a, b) -> tuple:
-    """The least general sequence that has both as instances, by one alignment."""
+    """The least general sequence that has both as instances, by one alignment.  What is repeated in one is taken
+    for a repeat in the other, if it occurs there but once."""
+    a, b = _grouped(a, _bodies(b)[0]), _grouped(b, _bodies(a)[0])
     return _joined(a, b, _pairs(a, b))
 
 
@@ -310,6 +440,14 @@ def infer(expressions) -> tuple:
 
 def slot_map(expression, wrapper) -> list[int]:
     """For each slot of the expression, the wrapper's slot; -1 if it has no place there."""
+    plain, grouped = _placed(expression, wrapper), _grouped(expression, _bodies(wrapper)[0])
+    if grouped == expression:
+        return plain
+    other = _placed(grouped, wrapper)
+    return min(other, plain, key=lambda m: m.count(-1))
+
+
+def _placed(expression, wrapper) -> list[int]:
     begin = [0]
     for x in wrapper:
         begin.append(begin[-1] + slots([x]))
@@ -322,7 +460,7 @@ def slot_map(expression, wrapper) -> list[int]:
         elif n:
             j = placed[i]
             if isinstance(x, tuple) and _core(x) != _core(wrapper[j]):
-                out += [begin[j] + k if k >= 0 else -1 for k in slot_map(_core(x)[1:], _core(wrapper[j])[1:])]
+                out += [begin[j] + k if k >= 0 else -1 for k in _placed(_core(x)[1:], _core(wrapper[j])[1:])]
             else:
                 out += range(begin[j], begin[j + 1])
     return out
@@ -354,9 +492,12 @@ def _digest(text: str) -> int:
 
 
 def _pages(batch: pa.RecordBatch, column: int):
+    """(part, row, expression as text, slot of each text, number of slots, texts, marks) of each page."""
     for part in parts(batch, column):
         for i, page in enumerate(pc.fill_null(part.column(column), "").to_pylist()):
-            yield part, i, *fold(*tokens(page))
+            stream, texts = tokens(page)
+            _, expr, slot, n = shape(tuple(stream))
+            yield part, i, expr, slot, n, texts, stream
 
 
 @lean
@@ -372,10 +513,11 @@ def _shapes(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "expr", "n", "lo", "hi"])
 
     for b in batches:
-        for part, i, expr, texts in _pages(b, 1):
-            key = part.column(0)[i].as_py(), dump(expr)
-            own = [[_digest(t) for t in s] for s in texts]
-            lo, hi = [min(s) for s in own], [max(s) for s in own]
+        for part, i, expr, slot, n, texts, _ in _pages(b, 1):
+            key = part.column(0)[i].as_py(), expr
+            lo, hi = [(1 << 63) - 1] * n, [-(1 << 63)] * n
+            for k, d in zip(slot, map(_digest, texts)):
+                lo[k], hi[k] = min(lo[k], d), max(hi[k], d)
             if key in found:
                 n, a, z = found[key]
                 found[key] = n + 1, list(map(min, a, lo)), list(map(max, z, hi))
@@ -404,28 +546,26 @@ def _place(batches):
 def _texts(batches):
     kind = pa.list_(pa.struct([("slot", pa.int32()), ("aside", pa.bool_()), ("text", pa.string())]))
     for b in batches:
-        for part in parts(b, 2):
+        for part, rows in itertools.groupby(_pages(b, 2), key=lambda r: r[0]):
             keys, texts = [], []
-            for page in pc.fill_null(part.column(2), "").to_pylist():
-                stream, own = tokens(page)
-                # fold's slots, then each text's place in the page
-                expr, by_slot = fold(stream, list(range(len(own))))
-                slot = [0] * len(own)
-                for s, places in enumerate(by_slot):
-                    for k in places:
-                        slot[k] = s
-                marks = [x == "~" for x in stream if _is_mark(x)]
-                keys.append(dump(expr))
-                texts.append([{"slot": s, "aside": a, "text": t} for s, a, t in zip(slot, marks, own)])
+            for _, _, expr, slot, _, own, stream in rows:
+                keys.append(expr)
+                texts.append([{"slot": s, "aside": x == "~", "text": t} for s, x, t in zip(slot, filter(_is_mark, stream), own)])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.string()), pa.array(texts, kind)], ["page_id", "host", "expr", "found"])
 
 
 def _wrappers(shapes: DataFrame) -> DataFrame:
-    """(host, wrapper): folded by host and salt first, then by host."""
-    kind = "host string, expr string, n long"
-    some = shapes.select("host", "expr", "n").withColumn("salt", F.pmod(F.xxhash64("expr"), F.lit(SALTS)))
-    part = some.groupBy("host", "salt").applyInArrow(_infer, kind)
-    return part.groupBy("host").applyInArrow(_infer, kind).select("host", F.col("expr").alias("wrapper"))
+    """(host, wrapper).  A host's expressions are merged about ``FAN`` at a time, those results again, and so on, until
+    one is left: no task merges more, whatever a host holds."""
+    some = shapes.select("host", "expr", "n")
+    while True:
+        hosts = written(some.groupBy("host").count(), "hosts")
+        most = hosts.agg(F.max("count")).first()[0] or 0
+        if most <= 1:
+            return some.select("host", F.col("expr").alias("wrapper"))
+        own = hosts.select("host", F.ceil(F.col("count") / FAN).cast("long").alias("salts")).where("salts > 1")
+        salted = some.join(hinted(own, 128), "host", "left").withColumn("salt", F.pmod(F.xxhash64("expr"), F.coalesce("salts", F.lit(1))))
+        some = written(salted.select("host", "salt", "expr", "n").groupBy("host", "salt").applyInArrow(_infer, "host string, expr string, n long"), "merged")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
