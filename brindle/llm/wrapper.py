@@ -10,8 +10,8 @@ subsequence, what only one has becomes optional, and groups are merged inside.
 expression without unions: tags, text slots, optional parts ("?") and repeats ("+").
 
 Only distinct expressions are shuffled, and merged in a tree of small tasks, so a host with a third of
-all pages is no single task.  A slot that has the same text wherever it occurs on all of a host's
-pages (two at least) is part of the template and isn't extracted.
+all pages is no single task.  A slot that has the same texts (repeats don't count) on all of a host's pages
+that have it, two at least, is part of the template and isn't extracted.
 """
 
 from __future__ import annotations
@@ -503,7 +503,7 @@ def _pages(batch: pa.RecordBatch, column: int):
 @lean
 def _shapes(batches):
     """Of (host, html): the distinct (host, expression) of a partition, with the pages, and the least and
-    greatest digest of a text for each slot."""
+    greatest digest of a page's texts for each slot."""
     found: dict = {}
 
     def rows():
@@ -515,9 +515,10 @@ def _shapes(batches):
     for b in batches:
         for part, i, expr, slot, n, texts, _ in _pages(b, 1):
             key = part.column(0)[i].as_py(), expr
-            lo, hi = [(1 << 63) - 1] * n, [-(1 << 63)] * n
-            for k, d in zip(slot, map(_digest, texts)):
-                lo[k], hi[k] = min(lo[k], d), max(hi[k], d)
+            own: list[dict] = [{} for _ in range(n)]
+            for k, t in zip(slot, texts):
+                own[k][t] = None
+            lo = hi = [_digest("\0".join(x)) for x in own]
             if key in found:
                 n, a, z = found[key]
                 found[key] = n + 1, list(map(min, a, lo)), list(map(max, z, hi))
