@@ -145,12 +145,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return connected_components(edges).where("node <> comp").select(F.col("node").alias("vec_id"), F.col("comp").alias("keep_id"))
 
 
-EGO_SQL = f"""
+def ego_sql(cosine: float) -> str:
+    return f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 near AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= {COSINE} * a.n * b.n),
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) >= {cosine} * a.n * b.n),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
 SELECT a AS vec_id, min(b) AS keep_id FROM reach GROUP BY a HAVING min(b) < a
 """

@@ -24,6 +24,9 @@ from brindle.llm.common import hinted, shared_dir, written
 SCHEMA = "record_id string, kind string, uri string, date string, digest string, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _TRACKED = "([?#]|/$)"
+READ_BYTES = 1 << 27
+#: A row of 16 bytes in a broadcast table takes about 190 (measured).
+_KEY_BYTES = 192
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -114,29 +117,29 @@ def record_bytes(header: str, payload: bytes | None) -> bytes:
 
 def _key() -> Column:
     """What identifies a record: all its header columns, nulls apart from empty strings."""
-    return F.sha1(F.to_json(F.struct("record_id", "kind", "uri", "date", "digest")).cast("binary"))
+    return F.unhex(F.md5(F.to_json(F.struct("record_id", "kind", "uri", "date", "digest")).cast("binary")))
 
 
 def write_archives(records: DataFrame, path: str, member_bytes: int = 1 << 30) -> DataFrame:
     """Writes ``records`` (``SCHEMA``) as deduplicated .warc.gz files below ``path``, a folder that all
     executors share, and returns (file, records, bytes), one row per file.
 
-    Rows that are equal in all header columns are one record.  A null record id is replaced by one made
+    An empty table gives no file.  Rows that are equal in all header columns are one record.  A null record id is replaced by one made
     of the other header columns.  Payloads of duplicates aren't written.  Each task writes its own files
     under fresh names, one gzip member a record, so a task that runs again leaves at most a file that no
     row names.  Files are written as the rows are computed: write the result once and use that.
     """
-    fresh_id = F.coalesce("record_id", F.concat(F.lit("urn:sha1:"), _key()))
+    fresh_id = F.coalesce("record_id", F.concat(F.lit("urn:sha1:"), F.sha1(F.to_json(F.struct("record_id", "kind", "uri", "date", "digest")).cast("binary"))))
     named = records.select(fresh_id.alias("record_id"), "kind", "uri", "date", "digest", "payload")
     keyed = named.withColumn("_key", _key())
     heads = written(resolve(named.drop("payload").distinct()), "warc-heads")
     moved = with_headers(heads.where("state not in ('original', 'other')")).select("header", F.lit(None).cast("binary").alias("payload"))
     gone = written(heads.where("state not in ('original', 'other')").select(_key().alias("_key")), "warc-moved")
-    kept = keyed.join(hinted(gone, 64), "_key", "left_anti")
+    kept = keyed.join(hinted(gone, _KEY_BYTES), "_key", "left_anti")
     again = written(keyed.groupBy("_key").count().where("count > 1").select("_key"), "warc-again")
     if again.take(1):
-        once = kept.join(hinted(again, 64), "_key", "left_semi").dropDuplicates(["_key"])
-        kept = kept.join(hinted(again, 64), "_key", "left_anti").unionByName(once)
+        once = kept.join(hinted(again, _KEY_BYTES), "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(hinted(again, _KEY_BYTES), "_key", "left_anti").unionByName(once)
     blank = [F.lit(None).cast("string").alias(f"original_{c}") for c in ("id", "uri", "date")]
     whole = with_headers(kept.select("record_id", "kind", "uri", "date", "digest", *blank, F.lit("other").alias("state"), "payload")).select("header", "payload")
 
@@ -239,5 +242,8 @@ def deduplicated(records: DataFrame) -> DataFrame:
     archives of ``records``, written below the shared folder and read from there."""
     folder = f"{shared_dir(records.sparkSession)}/archive-{uuid.uuid4().hex}"
     files = written(write_archives(records, folder if "://" in folder or folder[0] == "/" else f"file://{folder}"), "warc-files")
-    read = read_archives(files.repartition("file"))
+    # a task for every ``READ_BYTES`` of archives; files are at most about 1 GB each
+    n = files.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(n[0], max(records.sparkSession.sparkContext.defaultParallelism, -(-(n[1] or 0) // READ_BYTES))))
+    read = read_archives(files.repartition(tasks, "file"))
     return read.select("record_id", "kind", "uri", "date", "digest", "original_id", F.length("payload").cast("long").alias("payload_bytes"))
