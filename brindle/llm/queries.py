@@ -72,5 +72,5 @@ def queries():
 
 def oracle_sql():
     return {
-        "op1_embedding_near_duplicates": egojoin.ego_sql(egojoin.COSINE), "op3_warc_revisits": warc.WARC_SQL, "op10_top_k": balltree.TOPK_SQL,
+        "op1_embedding_near_duplicates": egojoin.ego_sql(egojoin.COSINE), "op2_url_templates": urltree.templates_sql(), "op3_warc_revisits": warc.WARC_SQL, "op10_top_k": balltree.TOPK_SQL,
         "near_vectors": egojoin.ego_sql(NEAR), "packing_by_words": packing.PACK_SQL}

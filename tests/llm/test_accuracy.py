@@ -209,7 +209,7 @@ def test_templates_by_hand(spark):
     got = urltree.templates(spark.createDataFrame(rows, "page_id long, url string, good int"))
     t = {(r["template"], r["kept"], r["n_urls"]) for r in got.select("template", "kept", "n_urls").distinct().collect()}
     assert ("/bad/{num}.html", False, 300) in t and ("/user/{mix}", True, 300) in t
-    assert sum(n for x, k, n in t if x.endswith("{num}.html") and k) in (600,)
+    assert ("/*/{num}.html", True, 600) in t  # en and de are alike, bad isn't
 
 
 def test_pipeline_against_its_stages(spark):
