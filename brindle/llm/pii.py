@@ -22,6 +22,7 @@ Weights are fitted here by pseudo-likelihood on a generated, labelled corpus of
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
 
@@ -34,6 +35,8 @@ from brindle.llm.common import lean, parts, text_bytes
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID")
 L, _FAR = len(LABELS), 64
+#: Cores of at least this many letters and digits are similar if they share this many at either end.
+_SIMILAR, _PART = 12, 8
 _TELLING = np.zeros(256, bool)
 _TELLING[[*b"0123456789@="]] = True
 _SPACE = np.zeros(256, bool)
@@ -41,12 +44,16 @@ _SPACE[[*b" \t\n\r\x0b\x0c"]] = True
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9_.+\-À-ɏ])[A-Za-z0-9_.+\-À-ɏ]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
+_H = "[0-9A-Fa-f]{1,4}"
+_IP6 = re.compile(rf"(?<![\w:.])(?=[\w:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:|::(?:{_H}:){{0,6}}{_H})(?![\w:])")
 _CORE = re.compile(r"\+?\(?[^\W_](?:.*[^\W_])?\)?", re.S)
 _KEYWORD = re.compile(r"(?i)^\W*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|key|auth|bearer|access[_-]?key)\W*[=:]?\W*$")
 _ASSIGN = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer)\W*[=:]\W*(\S{6,})")
 _ID_WORD = re.compile(r"(?i)^\W*(?:ssn|iban|passport|social|id)\W*$")
 _CARD_WORD = re.compile(r"(?i)^\W*(?:card|visa|credit|mastercard|amex)\W*$")
-_CALL_WORD = re.compile(r"(?i)^\W*(?:tel|phone|call|mobile|fax|fon|tlf)\W*$")
+_CALL_WORD = re.compile(r"(?i)^\W*(?:tel|phone|telephone|call|calling|mobile|cell|fax|fon|telefon|tlf|whatsapp|sms)\W*$")
+#: What a hash of a file or a revision is called; such a hash is no secret.
+_DIGEST_WORD = re.compile(r"(?i)^\W*(?:commit|revision|rev|md5|sha|sha-?(?:1|2|256|384|512)|hash|digest|checksum|etag|blob|tree|merge)\W*$")
 #: A keyword with its value, which quotes hold together; else a run without separators or letters of other scripts.
 _VALUE = r"[\w.\-]*(?i:token|secret|passw(?:or)?d|pwd|key|auth|bearer)\W{0,2}[=:](?:\"[^\"]*\"|'[^']*'|[^,;|&\"'<>\[\]{}]+)"
 _RUN = r"(?:[^,;|&\"'<>\[\]{}\x85\xa0\u0370-\U0010ffff]|\d)+"
@@ -59,9 +66,9 @@ _DIGIT = re.compile(r"(?![0-9])\d")
 _ROWS = r"(?i)token|secret|passw(?:or)?d|pwd|key|auth|bearer|\p{Nd}"
 _FEATURES = (
     lambda c: bool(_EMAIL.search(c)),
-    lambda c: bool(_IP.search(c)),
+    lambda c: bool(_IP.search(c)) or ":" in c and bool(_IP6.search(c)),
     lambda c: bool(re.fullmatch(r"\d{15,19}|(?:\d{4}-){3}\d{3,4}", c)),
-    lambda c: bool(re.fullmatch(r"(?:\d{4}-){3}\d{3,4}", c)) or c.isdecimal() and 15 <= len(c) <= 19 and _luhn(c),
+    lambda c: bool(re.fullmatch(r"\d{15,19}|(?:\d{4}-){3}\d{3,4}", c)) and _luhn(c.replace("-", "")),
     lambda c: bool(re.fullmatch(r"\d{4}", c)),
     lambda c: bool(re.fullmatch(r"\+\d{1,3}", c)),
     lambda c: bool(re.fullmatch(r"\(\d{2,5}\)", c)),
@@ -78,10 +85,10 @@ _FEATURES = (
     lambda c: bool(re.fullmatch(r"[\d.,:/%\-]+", c)) and any(x.isdecimal() for x in c),
     lambda c: not any(x.isdigit() for x in c),
 )
-#: Features of neighbours: a keyword one or two tokens before, "=" or ":" just before, and a word
-#: in the place of a secret.
-_CONTEXT = 7
-WIDTH = 1 + len(_FEATURES) + _CONTEXT
+#: Features of neighbours: a keyword one or two tokens before, "=" or ":" just before, a word in the place of a
+#: secret, a part of a phone number; then those of a run of groups of digits.
+_CONTEXT, _RUN_FEATURES = 9, 3
+WIDTH = 1 + len(_FEATURES) + _CONTEXT + _RUN_FEATURES
 
 
 def _luhn(digits: str) -> bool:
@@ -105,7 +112,7 @@ def pieces(token: str) -> list[tuple[int, str]]:
         for run in _PLAIN.finditer(token, *m.span()):
             p, cuts = run.group(), {0, len(run.group())}
             cuts.update(c.start() for c in _CUT.finditer(p))
-            for e in [*(_EMAIL.finditer(p) if "@" in p else ()), *_IP.finditer(p)]:
+            for e in [*(_EMAIL.finditer(p) if "@" in p else ()), *_IP.finditer(p), *(_IP6.finditer(p) if p.count(":") > 1 else ())]:
                 cuts = {c for c in cuts if not e.start() < c < e.end()} | {e.start(), e.end()}
             at = sorted(cuts)
             out += [(run.start() + a, p[a:b]) for a, b in zip(at, at[1:]) if any(x.isalnum() or x in "@=:" for x in p[a:b])]
@@ -144,62 +151,119 @@ def features(token: str, before: str, before2: str) -> list[float]:
         float(any(_CALL_WORD.match(x) for x in near)),
         float(before.rstrip("\"'").endswith(("=", ":"))),
         float(stands_for_secret(token, before, before2)),
+        float(any(_DIGEST_WORD.match(x) for x in near)),
+        float(token[a:b].isdecimal() and 7 <= b - a <= 15 and any(_CALL_WORD.match(x) for x in near)),
         float(bool(re.fullmatch(r"\+\d{1,3}", before)) or bool(re.fullmatch(r"\W*\(\d{2,5}\)\W*", before))),
+        *[0.0] * _RUN_FEATURES,
     ]
 
 
-def training_rows(n: int = 700, seed: int = 7) -> list[tuple[list[str], list[int]]]:
+_GROUP = re.compile(r"\W*(\+?\d{1,5})\W*")
+
+
+def mark_runs(tokens: list[str], plain: list[int], before: list[str], feats: list[list[float]]) -> None:
+    """Sets the features of runs of groups of digits (tokens with no plain one between them): four groups of four
+    that pass Luhn's test, four that don't, and groups of 7 to 15 digits in all behind a word for a call."""
+    k, groups = 0, [_GROUP.fullmatch(t) for t in tokens]
+    while k < len(tokens):
+        j = k + 1
+        while groups[k] and j < len(tokens) and groups[j] and not plain[j]:
+            j += 1
+        if j - k > 1:
+            digits = [g.group(1).lstrip("+") for g in groups[k:j]]
+            four = len(digits) == 4 and all(len(d) == 4 for d in digits)
+            luhn = four and _luhn("".join(digits))
+            call = bool(_CALL_WORD.match(before[k])) and 7 <= sum(map(len, digits)) <= 15
+            for f in feats[k:j]:
+                f[-3:] = float(luhn), float(four and not luhn), float(call)
+        k = j
+
+
+def training_rows(n: int = 1500, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     """``n`` generated sequences of tokens with their labels: always the same for a seed."""
     r = random.Random(seed)
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice(["an", "th", "er", "ion", "de", "la", "que", "ung", "st", "re"]) for _ in range(r.randint(1, 4)))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
+    def card():
+        d = r.choice("23456") + digits(14)
+        return next(d + x for x in "0123456789" if _luhn(d + x))
+
+    def address6():
+        if r.random() < 0.5:
+            return ":".join(hexes(r.randint(1, 4)) for _ in range(7)) + f":{digits(2)}"
+        return f"{r.choice(['2001', 'fe80', '2a02'])}:{hexes(r.randint(1, 4))}::{hexes(r.randint(1, 4))}:{digits(2)}"
+
     def entity():
-        k = r.randrange(12)
+        k = r.randrange(14)
         if k == 0:
-            return [(f"{word()}.{digits(2)}@{word()}{digits(1)}.example.{r.choice(['com', 'org'])}", 1)]
+            return [(f"{word()}{r.choice(['.', '_', '-', ''])}{r.choice([digits(2), word()])}@{word()}{r.choice(['', digits(1)])}.{r.choice(['com', 'org', 'example.com', 'co.uk', 'net'])}", 1)]
         if k == 1:
             return [(f"{word()}@{word()}.net", 1)]
-        if k == 11:
-            key, secret = r.choice(["token", "secret", "password", "api_key"]), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(10, 24)))
-            return [(f"{key}:", 0), (secret, 5)] if r.random() < 0.5 else [(key, 0), (r.choice("=:"), 0), (f'"{secret}"', 5)]
         if k == 2:
             return [(f"+{r.randint(1, 99)}", 2), (f"({digits(3)})", 2), (f"{digits(3)}-{digits(4)}", 2)]
         if k == 3:
             return [(r.choice([f"({digits(3)})", f"+{r.randint(1, 99)}"]), 2), (f"{digits(3)}-{digits(4)}", 2)]
         if k == 4:
-            return [(r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{r.randint(1, 99)}{digits(9)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}"]), 2)]
+            return [(r.choice([f"{digits(3)}{(d := r.choice('-.'))}{digits(3)}{d}{digits(4)}", f"+{r.randint(1, 99)}{digits(9)}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}"]), 2)]
         if k == 5:
-            return [(".".join(str(r.randint(0, 255)) for _ in range(4)), 3)]
+            return [(address6() if r.random() < 0.4 else ".".join(str(r.randint(0, 255)) for _ in range(4)), 3)]
         if k == 6:
-            return [*([(r.choice(["card", "visa"]), 0)] if r.random() < 0.2 else []), (digits(16) if r.random() < 0.8 else "-".join(digits(4) for _ in range(4)), 4)]
+            d = card()
+            return [*([(r.choice(["card", "visa"]), 0)] if r.random() < 0.3 else []), (d if r.random() < 0.7 else "-".join(d[i : i + 4] for i in (0, 4, 8, 12)), 4)]
         if k == 7:
-            return [("card", 0), *((digits(4), 4) for _ in range(4))] if r.random() < 0.5 else [(digits(4), 4) for _ in range(4)]
+            d = card()
+            return [*([("card", 0)] if r.random() < 0.5 else []), *((d[i : i + 4], 4) for i in (0, 4, 8, 12))]
         if k == 8:
             return [(r.choice(["token", "secret", "api_key", "password", "key"]), 0), ("=", 0), (f'"{hexes(r.choice([32, 40, 64]))}"', 5)]
         if k == 9:
-            return [(f"{r.choice(['token', 'password', 'api_key'])}={r.choice([hexes(20), hexes(40), word() + digits(4) + word()])}", 5)] if r.random() < 0.6 else [("sk-" + hexes(24), 5)]
-        return [*([("ssn", 0)] if r.random() < 0.5 else []), (f"{digits(3)}-{digits(2)}-{digits(4)}", 6)] if r.random() < 0.6 else [("iban", 0), (f"DE{digits(20)}", 6)]
+            return [(f"{r.choice(['token', 'password', 'api_key'])}={r.choice([hexes(20), hexes(40), word() + digits(4) + word()])}", 5)] if r.random() < 0.6 else [(r.choice(["sk-", "ghp_", "AKIA"]) + hexes(24), 5)]
+        if k == 10:
+            return [*([("ssn", 0)] if r.random() < 0.5 else []), (f"{digits(3)}-{digits(2)}-{digits(4)}", 6)] if r.random() < 0.6 else [("iban", 0), (f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{digits(20)}", 6)]
+        if k == 11:
+            key, secret = r.choice(["token", "secret", "password", "api_key"]), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(10, 24)))
+            return [(f"{key}:", 0), (secret, 5)] if r.random() < 0.5 else [(key, 0), (r.choice("=:"), 0), (f'"{secret}"' if r.random() < 0.5 else secret, 5)]
+        call = r.choice(["call", "phone", "tel", "mobile", "fax", "phone:", "Tel."])
+        if k == 12:
+            return [(call, 0), (digits(r.randint(7, 11)), 2)]
+        return [(call, 0), *((digits(n), 2) for n in r.choice([(3, 4, 4), (4, 6), (2, 2, 2, 2, 2), (3, 3, 4), (5, 5)]))]
+
+    year = lambda: str(r.randint(1500, 2100))
 
     def other():
-        k = r.randrange(15)
-        if k > 11:
-            return [(r.choice(["note:", "see:", "key", "token", "secret", "="]), 0), (word(), 0)]
-        options = [digits(1), digits(2), digits(3), str(r.randint(1500, 2100)), f"{digits(1)}.{digits(1)}", f"{digits(1)}.", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", digits(r.randint(5, 8)), f"{digits(2)}%", f"{word()}{digits(1)}", r.choice(["=", "x=1", "a=b", "@", "@" + word()])]
-        return [(options[k], 0)]
+        k = r.randrange(22)
+        if k < 3:
+            return [(r.choice(["note:", "see:", "key", "token", "secret", "=", "call", "phone", "card"]), 0), (word(), 0)]
+        if k == 3:  # years and other numbers of four digits
+            return [(year(), 0), *([(r.choice(["to", "and", "bis"]), 0)] if r.random() < 0.5 else []), (year(), 0)]
+        if k == 4:
+            return [(digits(4), 0) for _ in range(r.choice([1, 2, 3, 3, 5, 6]))]
+        if k == 5:  # four groups, or sixteen digits, that fail Luhn's test
+            d = next(x for x in iter(lambda: digits(16), None) if not _luhn(x))
+            return [(d[i : i + 4], 0) for i in (0, 4, 8, 12)] if r.random() < 0.4 else [(d, 0)]
+        if k == 6:
+            return [(r.choice(["commit", "md5", "sha1", "sha256:", "hash", "digest:", "checksum", "revision"]), 0), *([("of", 0)] if r.random() < 0.2 else []), (hexes(r.choice([32, 40, 64])), 0)]
+        if k == 7:
+            return [(r.choice([f"{word()}{digits(1)}", f"md{digits(1)}", f"{digits(1)}{word()}", f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)}::{digits(1)}", f"{word()}::{word()}", f"{digits(2)}:{digits(2)}:{digits(2)}"]), 0)]
+        if k == 8:
+            return [(digits(r.randint(9, 14)), 0)]
+        if k == 9:
+            return [(digits(r.randint(1, 3)), 0) for _ in range(r.randint(2, 5))]
+        options = [digits(1), digits(2), digits(3), year(), f"{digits(1)}.{digits(1)}", f"{digits(1)}.", f"{digits(2)}:{digits(2)}", f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)}", digits(r.randint(5, 8)), f"{digits(2)}%", f"{word()}{digits(1)}", r.choice(["=", "x=1", "a=b", "@", "@" + word()])]
+        return [(options[k - 10], 0)]
 
     rows = []
     for _ in range(n):
-        items, mark = [], r.choice(["", "", "", "!!", "###", "%%%"])
-        kept = [entity() if r.random() < 0.6 else other() for _ in range(r.randint(1, 3))]
+        items, mark = [], r.choice(["", "", "", *(r.choice("!?*~;#)%") * k for k in (1, 2, 3))])
+        kept = [entity() if r.random() < 0.55 else other() for _ in range(r.randint(1, 3))]
         for _ in range(r.randint(2, 7)):
             items += [(word(), 0) for _ in range(r.randint(1, 6))]
             if r.random() < 0.8:
                 items += r.choice(kept)
         items += [(word(), 0)]
         end = lambda t: t + r.choice(["", "", "", ".", ","]) + (mark if r.random() < 0.9 else "")
-        up = mark == "!!"
+        up = r.random() < 0.15
         rows.append(([end(t.upper() if up else t) for t, _ in items], [y for _, y in items]))
     return rows
 
@@ -209,12 +273,15 @@ def is_telling(token: str) -> bool:
 
 
 def skips(keys: list[str]) -> list[tuple[int, int]]:
-    """Links between each occurrence of a core and its next one."""
+    """Links between each occurrence of a core and its next one, and between similar cores: those that share their first
+    or last eight letters and digits."""
     last, out = {}, []
     for i, k in enumerate(keys):
-        if k in last:
-            out.append((last[k], i))
-        last[k] = i
+        for part in (k, "^" + k[:_PART], "$" + k[-_PART:]) if len(k) >= _SIMILAR else (k,):
+            at = last.get(part)
+            if at is not None and (part == k or keys[at] != k) and (at, i) not in out[-2:]:
+                out.append((at, i))
+            last[part] = i
     return out
 
 
@@ -249,17 +316,20 @@ def fit() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     for tokens, labels in training_rows():
         cut = [(p, k if is_telling(p) or not is_telling(t) else 0) for t, k in zip(tokens, labels) for p in ([p for _, p in pieces(t)] if is_telling(t) else [t])]
         tokens, labels = zip(*cut)
-        base, where = len(y), {}
+        base, where, lead = len(y), {}, []
         for i, t in enumerate(tokens):
             if is_node(t, tokens[i - 1] if i else ""):
                 where[i] = len(y)
                 x.append(features(t, tokens[i - 1] if i else "", tokens[i - 2] if i > 1 else ""))
+                lead.append(tokens[i - 1] if i else "")
             else:
                 x.append([0.0] * WIDTH)
             y.append(labels[i])
             prev.append(labels[i - 1] if i else -1)
             nxt.append(labels[i + 1] if i + 1 < len(tokens) else -1)
         told = [i for i in where]
+        mark_runs([tokens[i] for i in told], [i - j - 1 for i, j in zip(told, [-1, *told])], lead, rows := [x[where[i]] for i in told])
+        assert all(a is x[where[i]] for a, i in zip(rows, told))
         keys = [skip_key(tokens[i]) or f"#{i}" for i in told]
         pairs += [(where[told[a]], where[told[b]]) for a, b in skips(keys)]
         assert base < len(y)
@@ -307,8 +377,9 @@ def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: n
     unary: [n, L] log potentials; before, after: plain tokens up to the document's start or end (-1: a
     telling token lies between); chain: [m, 2] neighbouring telling tokens, gap: plain tokens between
     them; skip: [k, 2].  Only messages whose inputs changed are sent again, until none changes (or for
-    ``rounds``): exact if there is no loop, however long a chain is.  In documents with loops a
-    message has settled once it moves by 1e-3 at most, and none is sent after round 40.
+    ``rounds``): exact if there is no loop, however long a chain is.  In documents with loops a message has settled once
+    it moves by 1e-3 at most; from round 8 on it goes only a part of the way, and that part shrinks with the rounds,
+    so messages that would swing for ever settle too.
     """
     _, flat, _, s = model()
     runs = _runs()
@@ -337,16 +408,15 @@ def marginals(unary: np.ndarray, before: np.ndarray, after: np.ndarray, chain: n
     doc = np.maximum(np.cumsum(before >= 0) - 1, 0)
     loops = np.isin(doc, doc[skip.reshape(-1, 2)[:, 0]])
     total, active = logpot.copy(), np.arange(2 * m)
-    for k in range(rounds or 2 * int(np.bincount(doc).max()) + 200):
+    for k in range(rounds) if rounds else itertools.count():
         old = msg[active]
         out = total[src[active]] - msg[back[active]]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.einsum("el,elm->em", out, psi[active]) + 1e-300)
         new -= new.max(axis=1, keepdims=True)
-        bound = np.where(loops[src[active]], 1e-7 if k < 8 else 1e-3 if k < 40 else 2.0, 1e-7)
-        moved = np.abs(np.exp(new) - np.exp(old)).max(axis=1) > bound
         if k >= 8:  # damped once it should have settled
-            new = np.where(loops[src[active]][:, None], 0.5 * (new + old), new)
+            new = np.where(loops[src[active]][:, None], old + min(0.5, 8 / k) * (new - old), new)
+        moved = np.abs(np.exp(new) - np.exp(old)).max(axis=1) > np.where(loops[src[active]], 1e-7 if k < 8 else 1e-3, 1e-7)
         np.add.at(total, dst[active], new - old)
         msg[active] = new
         if not moved.any():
@@ -381,7 +451,7 @@ def _gaps(text: str, again: frozenset = frozenset()) -> tuple[list[str], list[tu
         bytes_at.append(np.array([m.start() for m in re.finditer(re.escape(word.encode()), data)], np.int64))
     hit = np.unique(np.searchsorted(starts, np.concatenate(bytes_at), side="right") - 1)
     token = lambda k: data[starts[k] : ends[k]].rstrip(b" \t\n\r\x0b\x0c").decode() if k >= 0 else ""
-    tokens, spans, feats, plain, last, run, near, words = [], [], [], [], -1, 0, ("", ""), set()
+    tokens, spans, feats, plain, lead, last, run, near, words = [], [], [], [], [], -1, 0, ("", ""), set()
     for k in hit:
         a = int(starts[k] if one_byte else chars[starts[k]])
         run += int(k - last - 1)
@@ -397,17 +467,19 @@ def _gaps(text: str, again: frozenset = frozenset()) -> tuple[list[str], list[tu
                 spans.append((a + at, a + at + len(t)))
                 feats.append(features(t, *near))
                 plain.append(run)
+                lead.append(near[0])
                 run = 0
             else:
                 run += 1
             near = (t, near[0])
     if words:  # those that stand for a secret are nodes wherever else they are
         return _gaps(text, frozenset(words))
+    mark_runs(tokens, plain, lead, feats)
     return tokens, spans, feats, plain, run + int(len(starts) - last - 1)
 
 
 #: What occurrences of a core share within a document: "keyword=value" and the context before it.
-_SHARED = [15, *range(1 + len(_FEATURES), WIDTH - 1)]
+_SHARED = [15, *range(1 + len(_FEATURES), WIDTH - 1 - _RUN_FEATURES)]
 
 
 def _pooled(feats: list[list[float]], keys: list[str]) -> list[list[float]]:
@@ -449,7 +521,7 @@ def label(texts: list[str]) -> list[list[tuple[int, int, str]]]:
         if y:
             t, (a, _) = tokens[k], spans[k]
             m = _ASSIGN.search(t) if y == 5 else None
-            own = [x.span() for x in (_EMAIL if y == 1 else _IP).finditer(t)] if y in (1, 3) else []
+            own = [x.span() for x in _EMAIL.finditer(t)] if y == 1 else [x.span() for x in (*_IP.finditer(t), *_IP6.finditer(t))] if y == 3 else []
             for s, e in own or [m.span(1) if m else core(t)]:
                 while m and e > s and not t[e - 1].isalnum():
                     e -= 1
