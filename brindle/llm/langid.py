@@ -5,8 +5,8 @@ Texts become code points, lower-cased; everything that is no letter becomes one
 float32, about 1 MB for four languages) is broadcast; a batch is scored as a sparse matrix in row form,
 bucket numbers with row offsets, times that matrix.
 
-The classifier is fitted on at most ``sample`` labelled rows (those with the least hash of their id, a
-bound that doesn't grow with the input); everything else reads every document, whole.
+The classifier is fitted on at most ``sample`` labelled rows (those with the least hash, a bound that
+doesn't grow with the input); everything else reads every document, whole.
 """
 
 from __future__ import annotations
@@ -110,21 +110,25 @@ def _counts(langs: tuple[str, ...]):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, smoothing: float = 0.5) -> Model:
-    """Counts n-grams of at most ``sample`` labelled rows.  Only ids and languages are ranked; the texts
-    of the sample alone go through Python.  No labelled row gives a model of one language, "und"."""
-    named = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang")).where("_id is not null and _lang is not null")
-    # tasks send the driver what is below a bar that lets about twice the sample through, not a sample each
-    n = named.count()
-    if n > 2 * sample:
-        named = named.where(F.xxhash64("_id") < F.lit(int(2 * sample / n * 2**64) - 2**63))
-    picked = named.orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample).collect()
+    """Counts n-grams of at most ``sample`` labelled rows: those with the least hash of id, language and text, equal rows
+    taken as one.  Only hashes and languages are ranked; the texts of the sample alone go through Python.  No labelled
+    row gives a model of one language, "und"; ties can't occur among different rows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_id is not null and _lang is not null")
+    named = rows.withColumn("_hash", F.xxhash64("_id", "_lang", "_text"))
+    # tasks send the driver what is below a bar that lets about twice the sample through, not a sample each; where
+    # equal rows leave too little below it, the bar is raised
+    n, share = rows.count(), 2
+    while True:
+        below = named if share * sample >= n else named.where(F.col("_hash") < F.lit(int(share * sample / n * 2**64) - 2**63))
+        picked = below.select("_hash", "_lang").distinct().orderBy("_hash").limit(sample).collect()
+        if len(picked) == sample or share * sample >= n:
+            break
+        share *= 16
     langs = tuple(sorted({r["_lang"] for r in picked}))
     if not langs:
         return Model(("und",), np.zeros((1 << BITS, 1), np.float32), np.zeros(1))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in {r["_id"] for r in picked}], "_pick long")
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.col("_lang").isin(*langs))
-    own = own.join(F.broadcast(ids), F.col("_id") == F.col("_pick"), "left_semi").select("_text", "_lang")
+    most = picked[-1]["_hash"]
+    own = below.where(F.col("_hash") <= F.lit(most)).dropDuplicates(["_hash"]).select("_text", "_lang")
     got = own.mapInArrow(_counts(langs), "bucket long, lang long, n double").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
     count = np.full((1 << BITS, len(langs)), smoothing)
     count[got["bucket"].to_numpy(np.int64), got["lang"].to_numpy(np.int64)] += got["n"].to_numpy()
@@ -170,7 +174,11 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that ``identify`` keeps, with all their columns, decided where they lie: no shuffle."""
+    """The rows of ``docs`` that ``identify`` keeps, with all their columns, decided where they lie: no shuffle.
+
+    Null and empty texts go, and so do those without a letter; null ids and null or unknown languages don't make
+    a row go; repeated rows stay or go alike; an empty table gives no rows; other columns stay as they are, whatever
+    their names."""
     model = model or fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns

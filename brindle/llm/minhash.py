@@ -150,50 +150,72 @@ def _keyed(chunk: int, errors: int):
     return run
 
 
+def _whole_buckets(batches, most: int = 1 << 18):
+    """Columns of whole buckets, some at a time, of a partition that is sorted by its first column; a bucket of more
+    than ``most`` rows comes alone."""
+    held: list = []
+
+    def joined():
+        out = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        return out
+
+    n = 0
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy() for c in b.columns])
+            n += b.num_rows
+        if n > most:
+            whole = joined()
+            last = int(np.searchsorted(whole[0], whole[0][-1]))
+            held.append([c[last:] for c in whole])
+            n -= last
+            if last:
+                yield [c[:last] for c in whole]
+    if held:
+        yield joined()
+
+
 @lean
 def _shared(batches):
-    """Of a partition that holds whole buckets: (key, lead, node) of those with two nodes or more."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    key, node = (np.concatenate(x) for x in zip(*got))
-    del got
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    size = np.diff(np.concatenate([new, [len(key)]]))
-    lead, many = np.repeat(node[new], size), np.repeat(size > 1, size)
-    key, lead, node = key[many], lead[many], node[many]
-    for k in range(0, len(key), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 16)]) for x in (key, lead, node)], ["key", "lead", "node"])
+    """Of a partition sorted by (key, node): (key, lead, node) of the buckets with two nodes or more.  What is kept
+    between batches is a bucket's lead and whether it was given."""
+    lead, open_ = None, None
+    for b in batches:
+        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(key):
+            continue
+        new = np.concatenate([[open_ is None or key[0] != open_], key[1:] != key[:-1]])
+        at = np.flatnonzero(new)
+        first = np.concatenate([[lead if lead is not None else 0], node[at]])[np.cumsum(new)]
+        open_, lead = key[-1], first[-1]
+        other = first != node
+        if other.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (key, first, node)], ["key", "lead", "node"])
 
 
 @lean
 def _crossing(batches):
-    """Of whole buckets (key, lead, node, comp): all pairs of nodes in different components, except with the lead."""
-    got = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
-    if not got:
-        return
-    key, lead, node, comp = (np.concatenate(x) for x in zip(*got))
-    rest = node != lead
-    key, node, comp = key[rest], node[rest], comp[rest]
-    order = np.lexsort((node, key))
-    key, node, comp = key[order], node[order], comp[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-    found, held = [], 0
-    for lo, hi in zip(new, [*new[1:], len(key)]):
-        for i in range(lo, hi - 1):
-            j = i + 1 + np.flatnonzero(comp[i + 1 : hi] != comp[i])
-            if len(j):
-                found.append(np.stack([np.full(len(j), node[i]), node[j]]))
-                held += len(j)
-        if held > 1 << 18:
-            p = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
-            found, held = [], 0
-    if found:
+    """Of buckets (key, node, comp), sorted by key: all pairs of nodes in different components.  A bucket's rows are
+    compared block by block, so that no more than a block's pairs are held at once."""
+    def pairs(found):
         p = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+
+    for key, node, comp in _whole_buckets(batches):
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        found, held = [], 0
+        for lo, hi in zip(new, [*new[1:], len(key)]):
+            for i in range(lo, hi - 1):
+                j = i + 1 + np.flatnonzero(comp[i + 1 : hi] != comp[i])
+                if len(j):
+                    found.append(np.stack([np.full(len(j), node[i]), node[j]]))
+                    held += len(j)
+                if held > 1 << 18:
+                    yield pairs(found)
+                    found, held = [], 0
+        if found:
+            yield pairs(found)
 
 
 def _within(radius: int):
@@ -226,15 +248,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a node is an equal signature's least id; one id may stand for several if its rows differ: they are one document
     errors = radius // -(-POSITIONS // chunk)
     keys = nodes.select("node", "sig").mapInArrow(_keyed(chunk, errors), "key long, node long")
-    shared = written(keys.repartition("key").mapInArrow(_shared, "key long, lead long, node long"), "bucket")
-    stars = shared.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    shared = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, lead long, node long"), "bucket")
+    stars = shared.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     near = written(_verified(stars, nodes, radius), "near")
     comps = connected_components(near)
     # buckets whose members are not all connected yet: compare across components
+    # (a bucket's lead was compared with all of its members)
     placed = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_buckets = placed.join(split, "key", "left_semi").select("key", "lead", "node", "comp")
-    crossing = open_buckets.repartition("key").mapInArrow(_crossing, "a long, b long").distinct()
+    open_buckets = placed.join(split, "key", "left_semi").select("key", "node", "comp")
+    crossing = open_buckets.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_crossing, "a long, b long").distinct()
     more = written(_verified(crossing, nodes, radius), "near")
     if more.take(1):
         comps = connected_components(near.union(more))
@@ -248,8 +271,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group of near copies, all columns as they were.
 
-    Of rows that repeat an id one stays.  Documents with a null id or without words stay.  The ids that
-    go are broadcast up to 32 MB; beyond that the join is shuffled.
+    Documents with a null id or without words stay (null and empty texts too).  An id stands for one document; of
+    rows that repeat it the copies of one text are one row, and rows with other texts stay if the id does (so no
+    text is lost that has no near copy).  Which of such copies stays goes by all columns (as JSON), so it is the same
+    in every run.  An empty table gives no rows; other columns stay as they are, whatever their names.  The ids that go
+    are broadcast up to 32 MB; beyond that the join is shuffled.
     """
     pairs = written(near_duplicates(docs, id_col, text_col, radius), "dropped")
     gone = pairs.select(F.col("doc_id").alias("_gone"))
@@ -258,5 +284,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if not repeated.take(1):
         return kept
     again = hinted(repeated, 16)
-    once = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = kept.join(again, F.col(id_col) == F.col("_again"), "left_semi").select(F.col(id_col).alias("_1"), F.xxhash64(text_col).alias("_2"), F.md5(F.to_json(row)).alias("_3"), row.alias("_4"))
+    once = mine.groupBy("_1", "_2").agg(F.min_by("_4", "_3").alias("_4")).select("_4.*")
     return kept.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)

@@ -587,7 +587,10 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_private(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """``docs`` with redacted texts, and ``n_chars`` (if there is such a column) set to their lengths."""
+    """``docs`` with redacted texts, and ``n_chars`` (if there is such a column) set to the lengths of those that changed.
+
+    Null texts stay null, empty ones empty; null ids and repeated rows give a row each; an empty table gives no rows;
+    other columns stay as they are, whatever their names.  No shuffle."""
     names = docs.columns
     t, n = names.index(text_col), names.index(size_col) if size_col in names else None
     shared = docs.sparkSession.sparkContext.broadcast(fit())

@@ -87,6 +87,51 @@ def test_language_id_on_held_out_rows(spark):
     assert got.where("found = lang").count() >= 0.97 * got.count() > 100
 
 
+def _ngrams(text):
+    """Bucket numbers of a text's n-grams, one after the other, and its letters."""
+    folded = ""
+    for c in text:
+        c = c.lower() if c.isalpha() and len(c.lower()) == 1 else " " if ord(c) < 0x3000 else c
+        folded += "" if c == " " and folded.endswith(" ") else c
+    out = []
+    for order in langid.ORDERS:
+        for i in range(len(folded) - order + 1):
+            h = 0
+            for c in folded[i : i + order]:
+                h = (h * 0x01000193 + ord(c)) % 2**32
+            x = (h * 0x9E3779B1 + order * 0x7FEB352D) % 2**32
+            x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+            out.append(x >> 32 - langid.BITS)
+    return out, sum(c != " " for c in folded)
+
+
+def test_language_id_against_counting_by_hand(spark):
+    """The whole of operator 9, model and scores, against dictionaries and sums of logarithms."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    counts, docs_by = {}, Counter()
+    for r in {(r["doc_id"], r["lang"], r["text"] or ""): r for r in rows if r["doc_id"] is not None and r["lang"] is not None}.values():
+        counts.setdefault(r["lang"], Counter()).update(_ngrams(r["text"] or "")[0])
+        docs_by[r["lang"]] += 1
+    total = {g: sum(c.values()) + 0.5 * 2**langid.BITS for g, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for r in rows:
+        grams, letters = _ngrams(r["text"] or "")
+        score = {g: math.log(docs_by[g] / sum(docs_by.values())) + sum(math.log((c[x] + 0.5) / total[g]) for x in grams) for g, c in counts.items()}
+        best, second = sorted(score.values(), reverse=True)[:2]
+        odds = best - score[r["lang"]] if r["lang"] in score else 0
+        g = got[r["doc_id"]]
+        if not letters:
+            assert (g["found"], g["kept"]) == ("und", False)
+        else:
+            assert score[g["found"]] > best - 1e-3 * len(grams) and abs(g["margin"] - (best - second) / letters) < 1e-2
+            if abs(odds - max(langid.ODDS, letters * langid.ODDS_A_LETTER)) > 1:
+                assert g["kept"] == (odds <= max(langid.ODDS, letters * langid.ODDS_A_LETTER))
+
+
 def test_marginals_are_exact_without_loops():
     w, flat, t, s = pii.model()
     rng = np.random.default_rng(1)

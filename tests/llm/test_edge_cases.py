@@ -48,6 +48,17 @@ def test_minhash(some, none):
 def test_repeated_id_of_a_kept_document(spark):
     d = docs(spark, [(1, EN), (1, EN), (2, DE)])
     assert sorted(r["doc_id"] for r in minhash.drop_near_duplicates(d).collect()) == [1, 2]
+    d = docs(spark, [(1, EN), (1, DE), (1, DE, "de"), (3, EN)])
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(d).collect()) == [(1, DE), (1, EN)]
+
+
+def test_few_ids_share_many_rows(spark):
+    """Rows that share two ids are different rows: the sample holds both languages."""
+    d = docs(spark, [(3 + k % 2, f"{EN if k % 2 else DE} {k}", "en" if k % 2 else "de") for k in range(20_000)])
+    model = langid.fit(d)
+    assert model.langs == ("de", "en") and 0.4 < np.exp(model.prior)[0] < 0.6
+    same = docs(spark, [(1, EN, "en")] * 9_000 + [(2, DE, "de")] * 9_000)
+    assert langid.fit(same).langs == ("de", "en")
 
 
 def test_pii(some, none):
