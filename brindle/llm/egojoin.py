@@ -2,9 +2,10 @@
 
 Vectors of length 1 whose cosine is at least c lie within eps = sqrt(2 - 2c).  ``vectors.blocks`` sorts
 them by grid cells of width eps on their leading principal dimensions.  Sequence intervals are then
-joined level by level: intervals of ``SPAN`` blocks with each other, the blocks of those that may be
-near, and within a task halves of block runs, down to single blocks.  At each level a pair is skipped if
-the gap between the two boxes is more than eps, which proves that no pair of vectors is near.
+joined recursively: the whole sequence with itself, then the parts of intervals that may be near, down to intervals of
+``SPAN`` blocks; the blocks of those; and within a task halves of block runs, down to single blocks.  At each
+level a pair is skipped if the gap between the two boxes is more than eps, which proves that no pair of vectors
+is near; what is skipped is never paired again.
 
 A task gives the edges of a spanning forest of the near pairs it finds, so that a group of n copies
 costs n rows and not n * n; the groups are the connected components of all of them.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from brindle.llm.common import written
 from brindle.llm.components import connected_components
-from brindle.llm.vectors import blocks, dimension
+from brindle.llm.vectors import FAN, blocks, descend, dimension, height
 
 COSINE = 0.95
 SPAN = 32
@@ -131,13 +132,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cut = blocks(vectors, id_col, vector_col, d, eps)
     n = min(_BOX, d)
     meta = cut.select("block", F.expr(f"block - block % {SPAN}").alias("super"), F.slice("lo", 1, n).alias("lo"), F.slice("hi", 1, n).alias("hi"))
-    ends = lambda f, c: [f(F.col(c)[k]).alias(f"{c}{k}") for k in range(n)]
-    supers = meta.groupBy("super").agg(*ends(F.min, "lo"), *ends(F.max, "hi"))
-    supers = written(supers.select("super", F.array(*(f"lo{k}" for k in range(n))).alias("lo"), F.array(*(f"hi{k}" for k in range(n))).alias("hi")), "supers")
+    ends = lambda f, c: F.array(*(f(F.col(c)[k]) for k in range(n))).alias(c)
+    levels = [written(meta.groupBy(F.expr(f"block div {SPAN}").alias("node")).agg(ends(F.min, "lo"), ends(F.max, "hi")), "boxes")]
+    for _ in range(height(levels[0].count())):
+        levels.append(written(levels[-1].groupBy(F.expr(f"node div {FAN}").alias("node")).agg(ends(F.min, "lo"), ends(F.max, "hi")), "boxes"))
     other = lambda df, *names: df.select(*(F.col(c).alias(f"{c}2") for c in ("lo", "hi", *names)))
     most = eps * eps * (1 + 1e-9)
-    near = supers.crossJoin(other(supers, "super")).where((F.col("super") <= F.col("super2")) & (_gap(n) <= most)).select("super", "super2")
-    near = written(near, "super-pairs").withColumnRenamed("super", "s").withColumnRenamed("super2", "t")
+
+    def near_pairs(k, pairs):
+        own = pairs.where("a <= b").join(levels[k].withColumnRenamed("node", "a"), "a").join(other(levels[k], "node").withColumnRenamed("node2", "b"), "b")
+        return own.where(_gap(n) <= most).select("a", "b")
+
+    near = descend(len(levels) - 1, levels.__getitem__, near_pairs).select((F.col("a") * SPAN).alias("s"), (F.col("b") * SPAN).alias("t"))
     both = near.join(meta.withColumnRenamed("super", "s"), "s").join(other(meta, "super", "block").withColumnRenamed("super2", "t"), "t").where((F.col("block") <= F.col("block2")) & (_gap(n) <= most))
     needed = both.select("s", "t", F.explode(F.array("block", "block2")).alias("block")).distinct()
     loaded = needed.join(cut.select("block", "ids", "vecs", F.expr(f"block - block % {SPAN}").alias("super")), "block")

@@ -18,6 +18,8 @@ LEAD = 8
 BLOCK_BYTES = 1 << 17
 #: A block's number: the number of its partition, then its place in it.
 PLACES = 1 << 24
+#: Children of a node, of trees over blocks.
+FAN = 16
 
 
 def dimension(df: DataFrame, vector_col: str) -> int:
@@ -113,12 +115,45 @@ def _cut(d: int, rows: int):
 def blocks(df: DataFrame, id_col: str, vector_col: str, d: int, width: float | None, normal: bool = True, lead: int = LEAD, rows: int | None = None) -> DataFrame:
     """(block, ids, vecs, lo, hi), written: runs of epsilon grid order, as little-endian int64 ids and
     float64 rotated vectors, and the boxes around them.  One sort of the table; the cell and the id are
-    the key, so a cell full of copies is cut like everything else.  No ``width``: the deviation along the
-    first principal dimension."""
+    the key, so a cell full of copies is cut like everything else.  Blocks are numbered from 0 in their order, by the
+    numbers of blocks of the partitions before, of which the driver holds one each.  No ``width``: the deviation along
+    the first principal dimension."""
     usables = usable(df, id_col, vector_col, d)
     axes, spread = rotation(usables, d, normal)
     shared = df.sparkSession.sparkContext.broadcast(axes)
     turned = usables.mapInArrow(_turned(shared, d, width or spread or 1.0, min(lead, d), normal), "id long, cell binary, vec binary")
     ordered = turned.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id", "vec").select("id", "vec")
     cut = ordered.mapInArrow(_cut(d, rows or max(16, BLOCK_BYTES // (8 * d))), "block long, ids binary, vecs binary, lo array<double>, hi array<double>")
-    return written(cut, "blocks")
+    out = written(cut, "blocks")
+    part = F.expr(f"block div {PLACES}")
+    before, total = [], 0
+    for r in sorted(out.groupBy(part.alias("p")).count().collect()):
+        before.append((r["p"], total))
+        total += r["count"]
+    first = df.sparkSession.createDataFrame(before, "_p long, _first long")
+    return out.join(F.broadcast(first), part == F.col("_p")).withColumn("block", F.col("_first") + F.col("block") % PLACES).drop("_p", "_first")
+
+
+def descend(top: int, level, near):
+    """The near pairs of nodes of a tree whose nodes are numbered in order, level by level from its root (level ``top``).
+
+    ``level(k)`` gives the nodes of level k as a DataFrame with a column "node"; a node's parent is node div ``FAN``.
+    ``near(a, b, pairs)`` joins the two sides of candidate pairs (a, b) and keeps those that may be near.  Only the children
+    of near pairs are ever paired, by joins on their parents: no level pairs all its nodes."""
+    spark = level(0).sparkSession
+    pairs = spark.createDataFrame([(0, 0)], "a long, b long")
+    for k in range(top - 1, -1, -1):
+        nodes = level(k).select("node", F.expr(f"node div {FAN}").alias("up"))
+        left = nodes.select(F.col("up").alias("a"), F.col("node").alias("na"))
+        right = nodes.select(F.col("up").alias("b"), F.col("node").alias("nb"))
+        both = pairs.select("a", "b").join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        pairs = written(near(k, both), "node-pairs")
+    return pairs
+
+
+def height(nodes: int) -> int:
+    """The level of the root of a tree over so many nodes."""
+    k = 0
+    while nodes > 1:
+        nodes, k = -(-nodes // FAN), k + 1
+    return k

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, same_rows
 
 import corpus_pipeline
-from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, queries, urltree
+from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, queries, urltree, vectors
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -36,7 +36,12 @@ def _components(n, edges):
     return [find(i) for i in range(n)]
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_vectors_against_brute_force(spark, monkeypatch, small):
+    """Whatever the size of blocks, shards and nodes: many levels and waves, or one."""
+    if small:
+        for m, name, n in [(vectors, "FAN", 2), (balltree, "FAN", 2), (egojoin, "FAN", 2), (balltree, "SHARD", 64), (balltree, "GROUP", 2), (egojoin, "SPAN", 2), (vectors, "BLOCK_BYTES", 1536)]:
+            monkeypatch.setattr(m, name, n)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(300, 12))
     x = np.concatenate([base, base[:40] + rng.normal(size=(40, 12)) * 0.05, np.repeat(base[:1], 700, 0) + rng.normal(size=(700, 12)) * 0.02]).astype(np.float32)
