@@ -11,6 +11,11 @@ def by_detector(findings: DataFrame) -> DataFrame:
     return findings.groupBy("kind").agg(F.count("*").alias("n")).orderBy("kind")
 
 
+def by_kind(findings: DataFrame, key: str) -> DataFrame:
+    """(kind, severity, n, first_id): findings of a kind and severity, and the first of them."""
+    return findings.groupBy("kind", "severity").agg(F.count("*").alias("n"), F.min(key).alias("first_id"))
+
+
 def by_severity(findings: DataFrame) -> DataFrame:
     """Every severity in its order, zero where nothing has it."""
     domain = findings.sparkSession.createDataFrame([(i, s) for i, s in enumerate(SEVERITIES)], "ord int, severity string")
@@ -52,3 +57,16 @@ def snapshot_diff(base: DataFrame, head: DataFrame, key: str = "identity") -> Da
     known = head.join(b.withColumn("_old", F.lit(True)), F.col(key) == F.col("_k"), "left")
     rest = known.withColumn("state", F.when(F.col("_old"), "unchanged").otherwise("introduced")).drop("_k", "_old")
     return resolved.unionByName(rest)
+
+
+def counters(diff: DataFrame) -> DataFrame:
+    """(kind, resolved, introduced, unchanged, net) of a snapshot difference, and a row "total" last."""
+    n = [F.count_if(F.col("state") == x).alias(x) for x in ("resolved", "introduced", "unchanged")]
+    each = diff.select("kind", "state").rollup("kind").agg(*n, F.grouping_id().alias("_all"))
+    return each.withColumn("net", F.col("introduced") - F.col("resolved")).orderBy("_all", "kind").select(F.when(F.col("_all") == 1, "total").otherwise(F.col("kind")).alias("kind"), "resolved", "introduced", "unchanged", "net")
+
+
+def top_clusters(findings: DataFrame, limit: int = 10) -> DataFrame:
+    """Clone clusters with the most members."""
+    own = findings.where("kind = 'duplicate-cluster'").withColumn("n", F.size("members"))
+    return own.orderBy(F.desc("n"), F.desc("similarity"), "file", "line").limit(limit).select("file", "line", "n", "similarity", F.transform("members", lambda m: m["symbol"]).alias("symbols"))

@@ -94,6 +94,29 @@ def candidates(symbols: DataFrame, target: str) -> DataFrame:
     return symbols.where((F.col("qualified") == target) | (F.col("name") == target.rsplit("::", 1)[-1])).orderBy("symbol_id")
 
 
+def visibility_uses(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """Every (symbol, reference) that bears on the symbol's visibility.  ``symbols`` has its name as ``_own`` and ``_k``,
+    how many symbols have that name: a bare name means another crate's symbol only if there is no other."""
+    bare = (F.col("_k") == 1) | (F.col("crate_name") == F.col("from_crate"))
+    ok = F.when(F.col("root").isNull(), bare).otherwise(reaches(F.col("root"), F.col("from_crate"), F.col("crate_name")))
+    return symbols.join(refs, (F.col("name") == F.col("_own")) & ok)
+
+
+def scope_sites(used: DataFrame, known: DataFrame) -> DataFrame:
+    """``used`` (name, file, crate ...) with ``site``: the least site that defines the name in its own file, else in its
+    crate, else null.  ``known``: (name, file, crate, site).  Two equi-joins on aggregated keys."""
+    near = known.groupBy("name", "file").agg(F.min("site").alias("_near"))
+    far = known.groupBy("name", "crate").agg(F.min("site").alias("_far"))
+    return used.join(near, ["name", "file"], "left").join(far, ["name", "crate"], "left").withColumn("site", F.coalesce("_near", "_far")).drop("_near", "_far")
+
+
+def first_neighbors(edges: DataFrame, src: str, dst: str, at: str, limit: int = 5) -> DataFrame:
+    """(src, rank, dst): the first ``limit`` neighbours of each node, by their first edge."""
+    first = edges.groupBy(src, dst).agg(F.min(at).alias("_at"))
+    w = Window.partitionBy(src).orderBy("_at", dst)
+    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(src, "rank", dst)
+
+
 def context_callers(refs: DataFrame, symbols: DataFrame, limit: int = 5) -> DataFrame:
     """(target_id, rank, caller): for every function at once, the first ``limit`` functions whose span
     holds a reference to it, by first reference; the definition's own line doesn't count."""
@@ -101,9 +124,8 @@ def context_callers(refs: DataFrame, symbols: DataFrame, limit: int = 5) -> Data
     placed = enclosing(refs, fns, "from_file", "line", "ref_id").where("enclosing_id is not null")
     s = fns.select("symbol_id", F.col("name").alias("_name"), "crate_name", F.col("file").alias("_file"), F.col("line").alias("_line"))
     hit = placed.join(s, (F.col("name") == F.col("_name")) & reaches(F.col("root"), F.col("from_crate"), F.col("crate_name")))
-    hit = hit.where("not (from_file = _file and line = _line)").groupBy("symbol_id", "enclosing_id").agg(F.min("ref_id").alias("first_ref"))
-    w = Window.partitionBy("symbol_id").orderBy("first_ref", "enclosing_id")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(F.col("symbol_id").alias("target_id"), "rank", F.col("enclosing_id").alias("caller_id"))
+    hit = hit.where("not (from_file = _file and line = _line)")
+    return first_neighbors(hit, "symbol_id", "enclosing_id", "ref_id", limit).toDF("target_id", "rank", "caller_id")
 
 
 def context_callees(refs: DataFrame, symbols: DataFrame, limit: int = 5) -> DataFrame:

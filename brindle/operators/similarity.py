@@ -21,28 +21,50 @@ def similar_pairs(bodies: DataFrame, min_tokens: int = 40, threshold: tuple[int,
     """(a, b, inter, uni) of bodies (fn_id, qualified, tokens) with a Jaccard similarity of shingle sets of at
     least ``threshold`` (a fraction in integers), a < b, different qualified names.
 
-    Exact, with lossless filters: only rare shingles of each body (its prefix, in order of frequency)
-    find candidates, since two sets that overlap enough share one there; and sizes must be close.  The
-    sets themselves are joined to candidates only.
+    Exact up to collisions of 64-bit hashes of shingles, with lossless filters: only rare shingles of each set (its
+    prefix, in order of frequency) find candidates, since two sets that overlap enough share one there; sizes
+    must be close; and from the first shared shingle on enough must be left in both.  Equal sets are compared once,
+    whatever their number.  The sets themselves are joined to candidates only.
     """
     num, den = threshold
-    sets = bodies.where(F.size("tokens") >= min_tokens).select(F.col("fn_id").alias("id"), "qualified", shingles(F.col("tokens"), k, hashed=True).alias("set"))
-    sets = written(sets.withColumn("n", F.size("set")).where("n > 0"), "shingles")
-    each = sets.select("id", "n", F.explode("set").alias("s"))
+    # one let-binding, so that tokens are worked out once and not wherever shingles refer to them
+    let = F.get(F.transform(F.array("tokens"), lambda t: F.when(F.size(t) >= min_tokens, F.sort_array(shingles(t, k, hashed=True)))), F.lit(0))
+    sets = written(bodies.select(F.col("fn_id").alias("id"), "qualified", let.alias("set")), "shingles").where(F.size("set") > 0)
+    sets = sets.withColumn("n", F.size("set")).withColumn("key", F.xxhash64("set"))
+    # equal sets are one node; its copies are paired with whatever it is paired with, at the end
+    same = written(sets.groupBy("key", "set", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "shingle-sets")
+    each = same.select("node", F.explode("set").alias("s"))
     freq = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
-    # in one body, shingles that no other body has come first, and find nothing
-    ranked = each.join(freq, "s").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("f", "s")))
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    keyed = ranked.withColumn("_alone", alone).where(F.col("r") + F.col("_alone") <= prefix).select("id", "n", "s")
-    left, right = keyed.toDF("a", "na", "s"), keyed.toDF("b", "nb", "s")
-    close = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    found = left.join(right, "s").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    x = sets.select(F.col("id").alias("a"), F.col("qualified").alias("qa"), F.col("set").alias("sa"))
-    y = sets.select(F.col("id").alias("b"), F.col("qualified").alias("qb"), F.col("set").alias("sb"))
-    both = found.join(x, "a").join(y, "b").where("qa <> qb")
-    both = both.withColumn("inter", F.size(F.array_intersect("sa", "sb"))).withColumn("uni", F.size("sa") + F.size("sb") - F.col("inter"))
-    return both.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b", "qa", "qb", "inter", "uni")
+    # a shingle that no other set has comes first in its set's order, and finds nothing: only the others are sent back
+    ranked = each.join(freq, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("r"))
+    keyed = ranked.join(same.select("node", "n"), "node")
+    prefix = (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("r"))).cast("int")
+    keyed = keyed.where(prefix > 0).select("node", "n", F.posexplode(F.slice("r", F.lit(1), prefix)).alias("p", "x"))
+    # with the places of a shingle in both orders: how much the sets can still share from there on
+    keyed = keyed.join(ranked.select("node", F.size("r").alias("m")), "node").select("node", "n", F.col("x.s").alias("s"), (F.col("m") - F.col("p")).alias("left"))
+    keyed = written(keyed, "prefixes")
+    x, y = keyed.toDF("u", "nu", "s", "lu"), keyed.toDF("v", "nv", "s", "lv")
+    close = F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num
+    enough = F.least("lu", "lv") * (num + den) >= (F.col("nu") + F.col("nv")) * num
+    found = x.join(y, "s").where((F.col("u") < F.col("v")) & close).groupBy("u", "v").agg(F.bool_or(enough).alias("_may")).where("_may").select("u", "v")
+    side = lambda i: same.select(F.col("node").alias(i), F.col("set").alias(f"s{i}"))
+    both = found.join(side("u"), "u").join(side("v"), "v").withColumn("inter", F.size(F.array_intersect("su", "sv")))
+    both = both.withColumn("uni", F.size("su") + F.size("sv") - F.col("inter")).where(F.col("inter") * den >= F.col("uni") * num).select("u", "v", "inter", "uni")
+    own = same.where("copies > 1").select(F.col("node").alias("u"), F.col("node").alias("v"), F.col("n").alias("inter"), F.col("n").alias("uni"))
+    near = written(both.unionByName(own), "near-sets")
+    names = written(sets.select("id", "qualified", "key", "set").join(same.select("key", "set", "node"), ["key", "set"]).select("node", "id", "qualified"), "names")
+    a, b = names.toDF("u", "a", "qa"), names.toDF("v", "b", "qb")
+    out = near.join(a, "u").join(b, "v").where((F.col("qa") != F.col("qb")) & ((F.col("u") != F.col("v")) | (F.col("a") < F.col("b"))))
+    swap = F.col("a") > F.col("b")
+    two = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    return out.select(two("a", "b").alias("a"), two("b", "a").alias("b"), two("qa", "qb").alias("qa"), two("qb", "qa").alias("qb"), "inter", "uni")
+
+
+def canonical_members(members: DataFrame) -> DataFrame:
+    """(grp, member, n, identical, needed) of groups with two members or more, from (grp, member, body, needed, order): the
+    first member by ``order``, whether all bodies are equal, and the greatest visibility that any member needs."""
+    g = members.groupBy("grp").agg(F.min_by("member", "order").alias("member"), F.count("*").alias("n"), F.min("body").alias("_lo"), F.max("body").alias("_hi"), F.max("needed").alias("needed"))
+    return g.where("n >= 2").select("grp", "member", "n", (F.col("_lo") == F.col("_hi")).alias("identical"), "needed")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

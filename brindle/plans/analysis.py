@@ -89,8 +89,11 @@ class Analysis:
         """Pairs of near-duplicate functions."""
         pairs = similarity.similar_pairs(self.bodies.where("not is_test"), min_tokens or self.config.min_tokens, self._threshold())
         at = self.bodies.select(F.col("fn_id").alias("a"), "file", "line", "col")
-        both = pairs.dropDuplicates(["qa", "qb"]).join(at, "a")
-        return finding(both.select("file", "line", "col", F.least("qa", "qb").alias("symbol_a"), F.greatest("qa", "qb").alias("symbol_b"), (F.col("inter") / F.col("uni")).alias("similarity")), "duplicate", "warning")
+        # one row for each two names, whichever comes first by place: that of the least ids
+        named = pairs.select(F.least("qa", "qb").alias("symbol_a"), F.greatest("qa", "qb").alias("symbol_b"), "a", "b", (F.col("inter") / F.col("uni")).alias("similarity"))
+        one = named.groupBy("symbol_a", "symbol_b").agg(F.min(F.struct("a", "b", "similarity")).alias("p"))
+        both = one.select("symbol_a", "symbol_b", "p.a", "p.similarity").join(at, "a")
+        return finding(both.select("file", "line", "col", "symbol_a", "symbol_b", "similarity"), "duplicate", "warning")
 
     def clone_clusters(self, min_tokens: int | None = None) -> DataFrame:
         pairs = similarity.similar_pairs(self.bodies.where("not is_test"), min_tokens or self.config.min_tokens, self._threshold())
@@ -125,11 +128,10 @@ class Analysis:
         """(symbol_id, qualified, visibility, suggested, n_refs)."""
         s = self.symbols.withColumn("_k", F.count("*").over(Window.partitionBy("name")))
         flags = " and ".join(f"not {c}" for c in detect.EXEMPT)
-        own = s.where(f"visibility <> 'private' and {flags}").select("symbol_id", "visibility", "crate_name", F.col("name").alias("_name"), "file", F.col("line").alias("_line"), "_k")
-        own = own.join(self.reexports(), F.col("_name") == F.col("_reexport"), "left_anti")
-        r = self.refs.where("not is_path_segment")
-        ok = F.when(F.col("root").isNull(), (F.col("_k") == 1) | (F.col("crate_name") == F.col("from_crate"))).otherwise(resolve.reaches(F.col("root"), F.col("from_crate"), F.col("crate_name")))
-        hit = own.join(r, (F.col("name") == F.col("_name")) & ok & ~((F.col("from_file") == F.col("file")) & (F.col("line") == F.col("_line"))))
+        own = s.where(f"visibility <> 'private' and {flags}").select("symbol_id", "visibility", "crate_name", F.col("name").alias("_own"), "file", F.col("line").alias("_line"), "_k")
+        own = own.join(self.reexports(), F.col("_own") == F.col("_reexport"), "left_anti")
+        r = self.refs.where("not is_path_segment").withColumnRenamed("line", "_at")
+        hit = resolve.visibility_uses(own, r).where(~((F.col("from_file") == F.col("file")) & (F.col("_at") == F.col("_line"))))
         uses = hit.select("symbol_id", "visibility", (F.col("from_file") == F.col("file")).alias("same_file"), (F.col("from_crate") == F.col("crate_name")).alias("same_crate"))
         return detect.visibility_suggestions(uses).join(self.symbols.select("symbol_id", "qualified", "file", "line"), "symbol_id")
 
@@ -231,7 +233,7 @@ class Analysis:
     def report(self) -> dict[str, DataFrame]:
         f = graph.written(self.findings(), "findings")
         size = self.ws.files().agg(F.count("*").alias("files"), F.sum(T.line_count(F.col("text"))).alias("loc"))
-        return {"size": size, "detectors": report.by_detector(f), "severities": report.by_severity(f), "files": report.top_files(f), "complexity": report.top_complexity(f.where("kind = 'complexity'"), "symbol"), "fixable": report.fixable(f), "findings": f}
+        return {"size": size, "detectors": report.by_detector(f), "severities": report.by_severity(f), "files": report.top_files(f), "complexity": report.top_complexity(f.where("kind = 'complexity'"), "symbol"), "clusters": report.top_clusters(f), "fixable": report.fixable(f), "findings": f}
 
     def diff(self, base: DataFrame) -> DataFrame:
         """This workspace's findings against an older snapshot's."""

@@ -14,6 +14,7 @@ from brindle.functions import text as T
 from brindle.operators import detect, graph, packages, report, resolve, similarity
 from brindle.plans import cache as cache_plans
 from brindle.sources import external
+from brindle.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,38 +40,40 @@ def micros(column: str):
 def symbols(spark, sf):
     p = table(spark, sf, "part")
     vis = F.when(F.col("p_size") <= 16, "public").when(F.col("p_size") <= 33, "pub_crate").otherwise("private")
-    return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("crate_name"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_type", "p_name").alias("qualified"), vis.alias("visibility"), "p_type")
+    name = F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_name")
+    return p.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("crate_name"), name.alias("name"), F.concat_ws("::", F.col("p_brand"), F.col("p_type"), name).alias("qualified"), vis.alias("visibility"), "p_type")
 
 
-_SYM = """SELECT p_partkey AS symbol_id, p_brand AS crate_name, p_name AS name, p_brand || '::' || p_type || '::' || p_name AS qualified, p_type,
+_NAME = "CAST(p_size AS VARCHAR) || ' ' || p_type || ' ' || p_name"
+_SYM = f"""SELECT p_partkey AS symbol_id, p_brand AS crate_name, {_NAME} AS name, p_brand || '::' || p_type || '::' || {_NAME} AS qualified, p_type,
   CASE WHEN p_size <= 16 THEN 'public' WHEN p_size <= 33 THEN 'pub_crate' ELSE 'private' END AS visibility FROM part"""
 
 
 def refs(spark, sf):
-    """Lines of full quantity and discount refer to their part's name: from its brand, by "crate" if they
-    were returned, by the brand if refused, by the bare name otherwise."""
-    li = table(spark, sf, "lineitem").where((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.095))
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
-    root = F.when(F.col("l_returnflag") == "A", "crate").when(F.col("l_returnflag") == "R", F.col("p_brand"))
-    both = li.join(p, li["l_partkey"] == p["p_partkey"])
-    return both.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ref_id"), F.col("p_brand").alias("from_crate"), F.col("p_name").alias("name"), root.alias("root"), "l_linestatus", "p_partkey")
-
-
-_REFS = """SELECT l_orderkey * 8 + l_linenumber AS ref_id, p_brand AS from_crate, p_name AS name, l_linestatus, p_partkey,
-  CASE l_returnflag WHEN 'A' THEN 'crate' WHEN 'R' THEN p_brand END AS root
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 AND l_discount > 0.095"""
+    """Every line refers to its part's name, from the crate of its supplier's nation: by the bare name if quantity and
+    discount are full, by the part's brand if the quantity is 1, and by "crate" otherwise."""
+    li, s = table(spark, sf, "lineitem"), table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("from_crate"))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_name").alias("name"))
+    root = F.when((F.col("l_quantity") == 50) & (F.col("l_discount") > 0.095), None).when(F.col("l_quantity") == 1, F.col("p_brand")).otherwise("crate")
+    both = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return both.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ref_id"), "from_crate", "name", root.alias("root"), "l_linestatus", "p_partkey")
+
+
+_REFS = f"""SELECT l_orderkey * 8 + l_linenumber AS ref_id, 'Brand#' || CAST(s_nationkey + 1 AS VARCHAR) AS from_crate, {_NAME} AS name, l_linestatus, p_partkey,
+  CASE WHEN l_quantity = 50 AND l_discount > 0.095 THEN NULL WHEN l_quantity = 1 THEN p_brand ELSE 'crate' END AS root
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey"""
 _REACHES = "r.name = s.name AND (r.root IS NULL OR s.crate_name = r.from_crate OR (r.root NOT IN ('crate', 'self', 'super', 'Self') AND r.root = s.crate_name))"
 
 
 @query(f"""WITH s AS ({_SYM}), r AS ({_REFS})
 SELECT symbol_id, crate_name, name, visibility FROM s WHERE visibility IN ('public', 'pub_crate')
-AND NOT EXISTS (SELECT 1 FROM r WHERE r.root IS NOT NULL AND {_REACHES})""")
+AND symbol_id NOT IN (SELECT s.symbol_id FROM s JOIN r ON {_REACHES})""")
 def dead_code(spark, sf):
-    return detect.dead_items(symbols(spark, sf), refs(spark, sf).where("root is not null")).select("symbol_id", "crate_name", "name", "visibility")
+    return detect.dead_items(symbols(spark, sf), refs(spark, sf)).select("symbol_id", "crate_name", "name", "visibility")
 
 
 @query(f"""WITH s AS ({_SYM}), r AS ({_REFS})
-SELECT symbol_id, crate_name, name FROM s WHERE EXISTS (SELECT 1 FROM r WHERE {_REACHES})""")
+SELECT symbol_id, crate_name, name FROM s WHERE symbol_id IN (SELECT s.symbol_id FROM s JOIN r ON {_REACHES})""")
 def referenced_symbols(spark, sf):
     return resolve.referenced(symbols(spark, sf), refs(spark, sf)).select("symbol_id", "crate_name", "name")
 
@@ -82,17 +85,18 @@ def ref_resolution(spark, sf):
     return hit.groupBy("symbol_id").agg(F.count("*").alias("n_refs"), F.countDistinct("from_crate").alias("n_crates"))
 
 
-@query("""WITH o AS (SELECT c_mktsegment AS crate_key, o_orderstatus, o_orderpriority, l_quantity, l_tax, p_name, p_brand FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
-deps AS (SELECT DISTINCT crate_key, replace(p_name, ' ', '-') || '-' || p_brand AS name FROM o WHERE o_orderstatus = 'F'),
-used AS (SELECT DISTINCT crate_key, replace(p_name, ' ', '_') || '_' || p_brand AS name FROM o WHERE o_orderstatus = 'O' AND l_quantity > 25)
+@query(f"""WITH o AS (SELECT c_mktsegment AS crate_key, o_orderstatus, {_NAME} AS name, p_brand FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+deps AS (SELECT DISTINCT crate_key, replace(name, ' ', '-') || '-' || p_brand AS name FROM o WHERE o_orderstatus = 'F'),
+used AS (SELECT DISTINCT crate_key, replace(name, ' ', '_') || '_' || p_brand AS name FROM o WHERE o_orderstatus = 'O')
 SELECT d.crate_key, d.name FROM deps d WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.crate_key = d.crate_key AND u.name IN (d.name, replace(d.name, '-', '_')))""")
 def unused_deps(spark, sf):
     c, o, li, p = (table(spark, sf, t) for t in ("customer", "orders", "lineitem", "part"))
     rows = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("p_partkey") == F.col("l_partkey"))
-    dash = F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), "p_brand")
+    rows = rows.select("c_mktsegment", "o_orderstatus", "p_brand", F.concat_ws(" ", F.col("p_size").cast("string"), "p_type", "p_name").alias("n"))
+    dash = F.concat_ws("-", F.replace("n", F.lit(" "), F.lit("-")), "p_brand")
     deps = rows.where("o_orderstatus = 'F'").select(F.col("c_mktsegment").alias("crate_key"), dash.alias("name")).distinct()
     deps = deps.select("*", F.lit(None).cast("string").alias("rename"), F.lit("normal").alias("kind"), F.lit(False).alias("optional"))
-    used = rows.where("o_orderstatus = 'O' and l_quantity > 25").select(F.col("c_mktsegment").alias("from_crate"), F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), "p_brand").alias("name"), F.lit(None).cast("string").alias("root"))
+    used = rows.where("o_orderstatus = 'O'").select(F.col("c_mktsegment").alias("from_crate"), F.concat_ws("_", F.replace("n", F.lit(" "), F.lit("_")), "p_brand").alias("name"), F.lit(None).cast("string").alias("root"))
     return detect.unused_deps(deps, used).select("crate_key", "name")
 
 
@@ -212,21 +216,21 @@ def reverse_module_deps(spark, sf):
 
 
 @query(f"""WITH s AS ({_SYM}), n AS (SELECT *, count(*) OVER (PARTITION BY name) AS k FROM s), r AS ({_REFS}),
-u AS (SELECT s.symbol_id, s.visibility, s.symbol_id = r.p_partkey AS same_file, s.crate_name = r.from_crate AS same_crate FROM n s JOIN r ON r.name = s.name AND (s.crate_name = r.from_crate OR (r.root IS NULL AND k = 1))
+u AS (SELECT s.symbol_id, s.visibility, s.symbol_id = r.p_partkey AS same_file, s.crate_name = r.from_crate AS same_crate FROM n s JOIN r ON r.name = s.name AND (s.crate_name = r.from_crate OR (r.root IS NULL AND k = 1) OR (r.root NOT IN ('crate', 'self', 'super', 'Self') AND r.root = s.crate_name))
   WHERE s.visibility <> 'private'),
 p AS (SELECT symbol_id, visibility, count(*) AS n_refs, bool_and(same_file) AS f, bool_and(same_crate) AS c FROM u GROUP BY 1, 2)
-SELECT symbol_id, visibility, CASE WHEN f THEN 'private' ELSE 'pub_crate' END AS suggested, n_refs FROM p WHERE c AND CASE WHEN f THEN 'private' ELSE 'pub_crate' END <> visibility""")
+SELECT symbol_id, visibility, CASE WHEN f THEN 'private' ELSE 'pub_crate' END AS suggested, n_refs FROM p WHERE (c OR f) AND CASE WHEN f THEN 'private' ELSE 'pub_crate' END <> visibility""")
 def visibility(spark, sf):
     s = symbols(spark, sf).withColumn("_k", F.count("*").over(Window.partitionBy("name"))).where("visibility <> 'private'")
     r = refs(spark, sf).withColumnRenamed("name", "_name")
-    hit = s.join(r, (F.col("name") == F.col("_name")) & ((F.col("crate_name") == F.col("from_crate")) | (F.col("root").isNull() & (F.col("_k") == 1))))
+    hit = resolve.visibility_uses(s.withColumnRenamed("name", "_own"), r.withColumnRenamed("_name", "name"))
     return detect.visibility_suggestions(hit.select("symbol_id", "visibility", (F.col("symbol_id") == F.col("p_partkey")).alias("same_file"), (F.col("crate_name") == F.col("from_crate")).alias("same_crate")))
 
 
-@query(f"""WITH s AS ({_SYM}) SELECT symbol_id, qualified, name FROM s WHERE regexp_full_match(qualified, 'Brand#1[^:]*::.*::[^:]*ring') OR regexp_full_match(name, 'red [^:]*')""")
+@query(f"""WITH s AS ({_SYM}) SELECT symbol_id, qualified, name FROM s WHERE regexp_full_match(qualified, 'Brand#1[^:]*::.*::[^:]*ring') OR regexp_full_match(name, '1[^:]* red [^:]*')""")
 def ls_glob(spark, sf):
     s = symbols(spark, sf)
-    return s.where(T.glob(F.col("qualified"), "Brand#1*::**::*ring") | T.glob(F.col("name"), "red *")).select("symbol_id", "qualified", "name").orderBy("qualified", "symbol_id")
+    return s.where(T.glob(F.col("qualified"), "Brand#1*::**::*ring") | T.glob(F.col("name"), "1* red *")).select("symbol_id", "qualified", "name").orderBy("qualified", "symbol_id")
 
 
 @query(f"""WITH e AS (SELECT l_partkey AS src, l_orderkey * 8 + l_linenumber AS ord, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem),
@@ -235,9 +239,7 @@ SELECT src AS target_id, CAST(k AS INTEGER) AS rank, dst AS neighbor_id FROM (SE
 def ctx_neighbors(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.lead("l_partkey").over(w).alias("dst"))
-    g = e.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("ord").alias("first_ref"))
-    k = F.row_number().over(Window.partitionBy("src").orderBy("first_ref", "dst"))
-    return g.withColumn("rank", k).where("rank <= 5").select(F.col("src").alias("target_id"), "rank", F.col("dst").alias("neighbor_id"))
+    return resolve.first_neighbors(e.where("dst is not null and src <> dst"), "src", "dst", "ord").select(F.col("src").alias("target_id"), "rank", F.col("dst").alias("neighbor_id"))
 
 
 def bodies(spark, sf):
@@ -317,11 +319,11 @@ def summarize(spark, sf):
 
 
 @query("""WITH p AS (SELECT DISTINCT p_name AS name, p_brand AS version FROM part), two AS (SELECT name FROM p GROUP BY 1 HAVING count(*) >= 2),
-c AS (SELECT DISTINCT p_name AS name, CASE WHEN l_tax < 0.005 THEN NULL ELSE p_brand END AS version, s_nationkey AS caller FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity = 50 AND l_discount > 0.095)
+c AS (SELECT DISTINCT p_name AS name, CASE WHEN l_tax < 0.005 THEN NULL ELSE p_brand END AS version, s_nationkey AS caller FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
 SELECT p.name, p.version, coalesce((SELECT string_agg(DISTINCT CAST(caller AS VARCHAR), ',' ORDER BY CAST(caller AS VARCHAR)) FROM c WHERE c.name = p.name AND (c.version IS NULL OR c.version = p.version)), '') AS callers FROM p JOIN two ON two.name = p.name""")
 def deps_duplicates(spark, sf):
     p, li, s = table(spark, sf, "part"), table(spark, sf, "lineitem"), table(spark, sf, "supplier")
-    c = li.where("l_quantity = 50 and l_discount > 0.095").join(p, F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    c = li.join(p, F.col("p_partkey") == F.col("l_partkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
     c = c.select(F.col("p_name").alias("name"), F.when(F.col("l_tax") >= 0.005, F.col("p_brand")).alias("version"), F.col("s_nationkey").cast("string").alias("caller")).distinct()
     d = packages.duplicate_versions(p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("version")).distinct(), c)
     return d.select("name", "version", F.array_join("callers", ",").alias("callers"))
@@ -423,7 +425,7 @@ def rename_tokens(spark, sf):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors FROM s GROUP BY user_id, k""")
 def watch_sessions(spark, sf):
     e = table(spark, sf, "events")
-    s = e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    s = watch.sessions(e, "30 minutes", "user_id", F.min("ts").alias("a"), F.max("ts").alias("b"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
     return s.select("user_id", micros("a").alias("first_at"), micros("b").alias("last_at"), "n", "n_errors")
 
 
@@ -436,7 +438,7 @@ def path_refs(spark, sf):
 
 @query(f"""WITH {_FIND} SELECT kind, severity, count(*) AS n, min(event_id) AS first_id FROM f GROUP BY GROUPING SETS ((kind, severity)) """)
 def findings_by_kind(spark, sf):
-    return findings(spark, sf).groupBy("kind", "severity").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return report.by_kind(findings(spark, sf), "event_id")
 
 
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer), s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey), n AS (SELECT n_nationkey, n_regionkey FROM nation),
@@ -445,10 +447,9 @@ SELECT c_custkey, min_by(s_suppkey, far * 1000000000 + s_suppkey) AS site FROM x
 def scope_resolution(spark, sf):
     """The site a name means: its own file's (nation's) first, else its crate's (region's)."""
     c, s, n = table(spark, sf, "customer"), table(spark, sf, "supplier"), table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    near = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("near"))
-    far = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.min("s_suppkey").alias("far"))
-    own = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(near, F.col("c_nationkey") == F.col("s_nationkey"), "left").join(far, "n_regionkey", "left")
-    return own.select("c_custkey", F.coalesce("near", "far").alias("site")).where("site is not null")
+    used = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lit("site").alias("name"), F.col("n_nationkey").alias("file"), F.col("n_regionkey").alias("crate"))
+    known = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("site").alias("name"), F.col("n_nationkey").alias("file"), F.col("n_regionkey").alias("crate"), F.col("s_suppkey").alias("site"))
+    return resolve.scope_sites(used, known).where("site is not null").select("c_custkey", "site")
 
 
 @query("""WITH k AS (SELECT p_brand || '/' || p_name AS grp, p_type, p_size, p_partkey FROM part), m AS (SELECT grp, min_by(p_partkey, CASE WHEN p_size < 10 THEN '0' ELSE '1' END || p_type || lpad(CAST(p_partkey AS VARCHAR), 12, '0')) AS canonical, count(*) AS n, count(DISTINCT p_type) = 1 AS identical, max(CASE WHEN p_size <= 16 THEN 2 WHEN p_size <= 33 THEN 1 ELSE 0 END) AS needed FROM k GROUP BY 1 HAVING count(*) >= 2)
@@ -457,8 +458,8 @@ def dedupe_canonical(spark, sf):
     """Canonical member, byte identity and the greatest visibility needed of each group of homonyms."""
     p = table(spark, sf, "part").withColumn("grp", F.concat_ws("/", "p_brand", "p_name"))
     rank = F.when(F.col("p_size") <= 16, 2).when(F.col("p_size") <= 33, 1).otherwise(0)
-    g = p.groupBy("grp").agg(F.min(F.struct((F.col("p_size") >= 10).alias("late"), "p_type", "p_partkey")).alias("c"), F.count("*").alias("n"), (F.countDistinct("p_type") == 1).alias("identical"), F.max(rank).alias("needed"))
-    return g.where("n >= 2").select("grp", F.col("c.p_partkey").alias("canonical"), "n", "identical", "needed")
+    members = p.select("grp", F.col("p_partkey").alias("member"), F.col("p_type").alias("body"), rank.alias("needed"), F.struct((F.col("p_size") >= 10).alias("late"), "p_type", "p_partkey").alias("order"))
+    return similarity.canonical_members(members).select("grp", F.col("member").alias("canonical"), "n", "identical", "needed")
 
 
 @query(f"""WITH tok AS ({_TOKENS}), n AS (SELECT doc_id, list_filter(t, lambda x: regexp_full_match(x, '[0-9]{{1,18}}(\\.[0-9]+)?')) AS v FROM tok)

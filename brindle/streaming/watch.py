@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,28 +22,64 @@ def bursts(events: DataFrame, gap: str = QUIET, late: str = "10 minutes") -> Dat
     e = events.where(relevant(F.col("path")))
     e = e.withWatermark("ts", late) if e.isStreaming else e
     # streams ask for a key beside the session; one workspace is one session
-    s = e.groupBy((F.length("path") * 0).alias("_one"), F.session_window("ts", gap)).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n"))
+    s = sessions(e.withColumn("_one", F.length("path") * 0), gap, "_one", F.array_sort(F.collect_set("path")).alias("paths"))
     return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths", "n")
 
 
-def framed(findings: DataFrame) -> list[str]:
-    """A batch as lines of JSON, ended by a line that says how many there were."""
-    lines = [r["j"] for r in findings.select(F.to_json(F.struct(*findings.columns)).alias("j")).toLocalIterator()]
-    return [*lines, json.dumps({"event": "batch-end", "count": len(lines)})]
+def sessions(events: DataFrame, gap: str, key: str, *aggs: Column) -> DataFrame:
+    """(key, session_window, n, and the given aggregates) of runs of events (ts) of a key with less than ``gap`` between two."""
+    return events.groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("n"), *aggs)
 
 
-def changed_files(spark: SparkSession, root: str, trigger: str = QUIET):
-    """A stream of new and changed sources below ``root`` (removals are found by ``retractions``)."""
-    kind = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.schema(kind).format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{rs,toml}").load(root).select("path", F.col("modificationTime").alias("ts"))
+def framed(findings: DataFrame) -> Iterator[str]:
+    """A batch as lines of JSON, ended by a line that says how many there were."""
+    n = 0
+    for n, r in enumerate(findings.select(F.to_json(F.struct(*findings.columns)).alias("j")).toLocalIterator(), 1):
+        yield r["j"]
+    yield json.dumps({"event": "batch-end", "count": n})
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, ts) of the relevant files below ``root`` as they are now; contents aren't read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{rs,toml}").load(root)
+    return raw.select("path", F.col("modificationTime").alias("ts")).where(relevant(F.col("path")))
+
+
+def changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, ts, change) between two listings: added, changed (another time) or removed."""
+    b = before.select("path", F.col("ts").alias("_ts"))
+    state = F.when(F.col("_ts").isNull(), "added").when(F.col("ts").isNull(), "removed").otherwise("changed")
+    return b.join(now.select("path", "ts"), "path", "full").where(~F.col("ts").eqNullSafe(F.col("_ts"))).select("path", "ts", state.alias("change"))
+
+
+def follow(spark: SparkSession, root: str, recompute: Callable[[DataFrame], DataFrame], emit: Callable[[list[str]], None], quiet: float = 0.25, poll: float = 0.1, rounds: int | None = None, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> None:
+    """Lists the files below ``root`` every ``poll`` seconds and compares (path, time) with what was published last: new, rewritten
+    and removed files all count.  Once nothing has changed for ``quiet`` seconds, ``recompute`` runs on the changes, and its
+    framed rows go to ``emit``.  Ends after ``rounds`` listings (never, by default)."""
+    kind = "path string, ts timestamp"
+    snap = lambda: spark.createDataFrame(listing(spark, root).collect(), kind)  # noqa: E731  one row per file of a workspace
+    published = seen = snap()
+    quiet_for = Debounce(quiet, clock)
+    k = 0
+    while rounds is None or k < rounds:
+        now = snap()
+        if changes(seen, now).take(1):
+            quiet_for.event()
+            seen = now
+        elif quiet_for.ready():
+            emit(list(framed(recompute(changes(published, now)))))
+            published = now
+        k += 1
+        wait(poll)
 
 
 def watch(events: DataFrame, recompute: Callable[[DataFrame], DataFrame], emit: Callable[[list[str]], None], checkpoint: str, once: bool = False, trigger: str = QUIET):
-    """Runs ``recompute`` on each micro-batch of relevant changes and hands its framed rows to ``emit``."""
+    """Runs ``recompute`` on the relevant changes of a stream of events (path, ts), a micro-batch at a time, and hands its
+    framed rows to ``emit``."""
     def batch(rows: DataFrame, _: int) -> None:
         hit = rows.where(relevant(F.col("path")))
         if hit.take(1):
-            emit(framed(recompute(hit)))
+            emit(list(framed(recompute(hit))))
 
     w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=trigger)).start()
