@@ -20,9 +20,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("command", choices=[*DETECTORS, *ROWS, *TARGETED, "circular-deps", "report", "context"])
     p.add_argument("root")
     p.add_argument("target", nargs="?", default="")
+    p.add_argument("--cache", help="a folder for parsed files; those that haven't changed aren't parsed again")
     p.add_argument("--format", choices=["human", "json", "jsonl", "md", "dot"], default="human")
     a = p.parse_args(argv)
-    an = Analysis(SparkSession.builder.appName("brindle").getOrCreate(), a.root)
+    an = Analysis(SparkSession.builder.appName("brindle").getOrCreate(), a.root, a.cache)
     if a.command == "report":
         print(render.markdown(an.report()))
         return 0

@@ -26,8 +26,8 @@ def finding(df: DataFrame, kind: str, severity: str) -> DataFrame:
 class Analysis:
     """Relations are written once and shared by all queries."""
 
-    def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.ws = spark, Workspace(spark, root)
+    def __init__(self, spark: SparkSession, root: str | Path, cache_dir: str | None = None):
+        self.spark, self.ws = spark, Workspace(spark, root, cache_dir)
         self.config = self.ws.config
 
     @cached_property

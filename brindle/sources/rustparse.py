@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from brindle.sources.rustlex import LexError, Tok, lex, match_groups
 
@@ -576,3 +576,32 @@ def extract(files: DataFrame, kind: str) -> DataFrame:
 
     schema = to_arrow_schema(_parse_datatype_string(_SCHEMAS[kind]))
     return files.select("path", "crate_key", "text").mapInArrow(_rows(kind, schema), _SCHEMAS[kind])
+
+
+KINDS = tuple(_SCHEMAS)
+
+
+def extract_all(files: DataFrame) -> DataFrame:
+    """``files`` (path, crate_key, mtime, text) as (path, crate_key, mtime, symbols, refs, bodies, branches): each file is
+    parsed once; a file that can't be parsed has none of them.  Texts go through Python some megabytes at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    ddl = "path string, crate_key string, mtime long, " + ", ".join(f"{k} array<struct<{_SCHEMAS[k]}>>" for k in KINDS)
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches):
+        for b in batches:
+            out, held = [], 0
+            for k in range(b.num_rows):
+                path, crate, mtime, text = (b.column(i)[k].as_py() for i in range(4))
+                p = parse(text or "", crate, path)
+                out.append({"path": path, "crate_key": crate, "mtime": mtime} | {x: getattr(p, x) if p else [] for x in KINDS})
+                held += len(text or "")
+                if held > 1 << 22:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    return files.select("path", "crate_key", F.col("mtime").cast("long").alias("mtime"), "text").mapInArrow(run, ddl)

@@ -79,3 +79,25 @@ def test_text_functions(spark):
     assert (r["leaf"], r["g1"], r["g2"], r["g3"], r["m"], r["c"], r["names"], tuple(r["stat"]), r["l"], r["n"], r["rel"], r["v"]) == ("run_x", True, False, True, "a", "x y z", ["a", "c"], (3, 10, 2), " z", 2, "src/a.rs", "  fn x()")
     e = spark.createDataFrame([("a", "b")], "src string, dst string")
     assert render.dot(e) == 'digraph deps {\n  "a" -> "b";\n}\n'
+
+
+def test_rewritten_and_removed_files_are_followed(spark, tmp_path):
+    import os
+
+    for k, name in enumerate("abc"):
+        (tmp_path / f"{name}.rs").write_text("fn x() {}")
+        os.utime(tmp_path / f"{name}.rs", (1000 + k, 1000 + k))
+    now, out, k = [0.0], [], [0]
+
+    def wait(seconds):
+        now[0] += 0.2
+        k[0] += 1
+        if k[0] == 1:
+            os.utime(tmp_path / "a.rs", (2000, 2000))
+        if k[0] == 2:
+            (tmp_path / "b.rs").unlink()
+            (tmp_path / "d.rs").write_text("fn y() {}")
+
+    name = F.substring_index("path", "/", -1).alias("name")
+    W.follow(spark, str(tmp_path), lambda c: c.select(name, "change").orderBy("name"), out.append, quiet=0.25, rounds=7, clock=lambda: now[0], wait=wait)
+    assert [json.loads(x) for batch in out for x in batch] == [{"name": "a.rs", "change": "changed"}, {"name": "b.rs", "change": "removed"}, {"name": "d.rs", "change": "added"}, {"event": "batch-end", "count": 3}]

@@ -175,3 +175,32 @@ def test_cache(spark, tmp_path):
     (tmp_path / "d" / "v1").mkdir(parents=True)
     (tmp_path / "d" / "v1" / "x.parquet").write_text("garbage")
     assert cache.load(spark, str(tmp_path / "d")) is None
+
+
+def test_files_are_parsed_once_and_kept(spark, tmp_path):
+    import os
+
+    (tmp_path / "w").mkdir()
+    root = workspace(tmp_path / "w", {"one": ({"src/lib.rs": "pub fn used() {}\npub fn alone() {}\nfn go() { used(); }\n"}, ""), "two": ({"src/lib.rs": "pub fn other() {}\n"}, "")})
+    kept = str(tmp_path / "cache")
+    dead = lambda a: sorted(r["symbol"] for r in a.dead_code().collect())
+    count = lambda a: tuple(cache.counters(a.ws.cache_plan).first())
+    first = Analysis(spark, root, kept)
+    want = dead(first)
+    assert want == ["one::alone", "two::other"] and count(first) == (0, 2, 0)
+    again = Analysis(spark, root, kept)
+    assert dead(again) == want and count(again) == (2, 0, 0)
+    (root / "two/src/lib.rs").write_text("pub fn newer() {}\n")
+    os.utime(root / "two/src/lib.rs", (2_000_000_000, 2_000_000_000))
+    third = Analysis(spark, root, kept)
+    assert dead(third) == ["one::alone", "two::newer"] and count(third) == (1, 1, 0)
+
+
+def test_manifests_inherit_and_have_targets(spark, tmp_path):
+    root = workspace(tmp_path, {"one": ({"src/bin/tool.rs": "fn main() { serde::go(); }\n"}, 'serde = { workspace = true, features = ["rc"] }'), "skipped": ({"src/lib.rs": ""}, "")})
+    (root / "Cargo.toml").write_text('[workspace]\nmembers = ["*"]\nexclude = ["skipped"]\n[workspace.dependencies]\nserde = { version = "1", features = ["derive"] }\n')
+    with open(root / "one/Cargo.toml", "a") as f:
+        f.write('[target."cfg(unix)".dependencies]\nnix = "0.2"\n')
+    a = Analysis(spark, root)
+    assert sorted((r["name"], r["kind"], tuple(r["features"])) for r in a.ws.deps().collect()) == [("nix", "normal", ()), ("serde", "normal", ("derive", "rc"))]
+    assert [r["dep_name"] for r in a.unused_deps().collect()] == ["nix"]
