@@ -18,6 +18,8 @@ LEAD = 8
 BLOCK_BYTES = 1 << 17
 #: A block's number: the number of its partition, then its place in it.
 PLACES = 1 << 24
+#: Parquet looks at the size of what it holds after 100 rows only, which long rows make hundreds of MB; here after each.
+LONG_ROWS = {"parquet.block.size": str(1 << 24), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Children of a node, of trees over blocks.
 FAN = 16
 
@@ -124,7 +126,7 @@ def blocks(df: DataFrame, id_col: str, vector_col: str, d: int, width: float | N
     turned = usables.mapInArrow(_turned(shared, d, width or spread or 1.0, min(lead, d), normal), "id long, cell binary, vec binary")
     ordered = turned.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id", "vec").select("id", "vec")
     cut = ordered.mapInArrow(_cut(d, rows or max(16, BLOCK_BYTES // (8 * d))), "block long, ids binary, vecs binary, lo array<double>, hi array<double>")
-    out = written(cut, "blocks")
+    out = written(cut, "blocks", LONG_ROWS if rows else None)
     part = F.expr(f"block div {PLACES}")
     before, total = [], 0
     for r in sorted(out.groupBy(part.alias("p")).count().collect()):

@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: each operator's defined result."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF
 
 from brindle.llm import balltree, bpe, egojoin, langid, minhash, packing, pii, queries, urltree, warc, wrapper
+from brindle.llm import vectors as grid
 
 EN = "the cat and the dog were in the house with the children of the town and they had been there for the whole day"
 DE = "der hund und die katze waren in dem haus mit den kindern der stadt und sie waren den ganzen tag dort gewesen"
@@ -192,3 +194,13 @@ def test_op10_asks_for_every_hundredth(spark):
     rows = queries.op10_top_k(spark, SF).collect()
     assert {r["vec_id"] for r in rows} == {0, 100, 200, 300, 400} and len(rows) == 50
     assert any(r["neighbor_id"] % 100 for r in rows)
+
+
+def test_long_rows_go_to_small_row_groups(spark, monkeypatch):
+    """Shards are rows of MBs: a row group holds few of them, not the 100 after which Parquet first looks at its size."""
+    monkeypatch.setattr(grid, "LONG_ROWS", {**grid.LONG_ROWS, "parquet.block.size": str(1 << 16)})
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 8)))], "vec_id long, embedding array<double>")
+    shards = grid.blocks(df, "vec_id", "embedding", 8, None, normal=False, rows=128)
+    groups = [g.total_byte_size for f in shards.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert shards.count() >= 47 and max(groups) < 1.5 * (1 << 16)
