@@ -263,7 +263,7 @@ def dupes_pairs(spark, sf):
 comp AS (SELECT node, min(other) AS comp FROM reach GROUP BY 1), m AS (SELECT comp, string_agg(node, ',' ORDER BY node) AS members, count(*) AS n_members FROM comp GROUP BY 1)
 SELECT m.comp, members, n_members, round(min(n_shared / n_union), 6) AS min_similarity, round(max(n_shared / n_union), 6) AS max_similarity FROM m JOIN comp c ON c.comp = m.comp JOIN pairs p ON p.a = c.node GROUP BY 1, 2, 3""")
 def dupes_clusters(spark, sf):
-    c = similarity.clusters(similarity.similar_pairs(bodies(spark, sf)))
+    c = similarity.clusters(bodies(spark, sf))
     return c.select("comp", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "n_members", F.round("min_similarity", 6).alias("min_similarity"), F.round("max_similarity", 6).alias("max_similarity"))
 
 
@@ -275,11 +275,7 @@ pl AS (SELECT a, b, p, t[p + 1] AS v, u[p + 1] AS w FROM (SELECT *, unnest(range
 k AS (SELECT a, b, CASE WHEN {_CLASS.format('v')} <> {_CLASS.format('w')} THEN 'structural' ELSE {_CLASS.format('v')} END AS class FROM pl WHERE v <> w UNION ALL SELECT a, b, 'structural' FROM mem WHERE len(t) <> len(u))
 SELECT a, b, class, count(*) AS n FROM k GROUP BY 1, 2, 3""")
 def diff_cluster(spark, sf):
-    d = bodies(spark, sf)
-    p = graph.written(similarity.similar_pairs(d).select("a", "b"), "pairs")
-    each = p.select("a", "b", F.explode(F.array("a", "b")).alias("member")).join(d, F.col("member") == F.col("fn_id"))
-    out = similarity.divergences(each.select(F.struct("a", "b").alias("cluster"), "member", "tokens"))
-    return out.groupBy(F.col("cluster.a").alias("a"), F.col("cluster.b").alias("b"), "class").agg(F.count("*").alias("n"))
+    return similarity.pair_divergences(bodies(spark, sf))
 
 
 RULES = [(0, "http", [], ["m."]), (1, "https", ["blog.", "www.", "m."], ["blog.thre", "blog.thth"])]
