@@ -167,7 +167,7 @@ class Analysis:
         if self.ws.crates().where(F.col("crate_key") == key).take(1):
             return packages.reverse_crate_deps(self.refs, self.symbols, key).orderBy("from_crate")
         inside = self.symbols.where((F.col("qualified") == target) | F.col("qualified").startswith(target + "::"))
-        return resolve.matches(self.refs, inside).select("from_crate").distinct().orderBy("from_crate")
+        return resolve.referring_crates(self.refs, inside).orderBy("from_crate")
 
     # -- navigation ------------------------------------------------------------------------------------
 

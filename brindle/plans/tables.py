@@ -81,8 +81,7 @@ def referenced_symbols(spark, sf):
 @query(f"""WITH s AS ({_SYM}), r AS ({_REFS})
 SELECT s.symbol_id, count(*) AS n_refs, count(DISTINCT r.from_crate) AS n_crates FROM s JOIN r ON {_REACHES} GROUP BY s.symbol_id""")
 def ref_resolution(spark, sf):
-    hit = resolve.matches(refs(spark, sf), symbols(spark, sf))
-    return hit.groupBy("symbol_id").agg(F.count("*").alias("n_refs"), F.countDistinct("from_crate").alias("n_crates"))
+    return resolve.reference_counts(refs(spark, sf), symbols(spark, sf))
 
 
 @query(f"""WITH o AS (SELECT c_mktsegment AS crate_key, o_orderstatus, {_NAME} AS name, p_brand FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
@@ -212,7 +211,7 @@ def reverse_deps(spark, sf):
 @query(f"""WITH s AS ({_SYM}), r AS ({_REFS}) SELECT DISTINCT r.from_crate FROM r JOIN s ON {_REACHES} WHERE starts_with(s.qualified, 'Brand#7::PROMO::')""")
 def reverse_module_deps(spark, sf):
     inside = symbols(spark, sf).where(F.col("qualified").startswith("Brand#7::PROMO::"))
-    return resolve.matches(refs(spark, sf), inside).select("from_crate").distinct()
+    return resolve.referring_crates(refs(spark, sf), inside)
 
 
 @query(f"""WITH s AS ({_SYM}), n AS (SELECT *, count(*) OVER (PARTITION BY name) AS k FROM s), r AS ({_REFS}),
